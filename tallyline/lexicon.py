@@ -229,6 +229,14 @@ SPANISH = Language(
 LANGUAGES = {"en": ENGLISH, "es": SPANISH}
 
 
+def map_literal(entries: dict) -> str:
+    """SQL map literal of words to texts or numbers; one parse instead of many calls."""
+    def sql(x):
+        return f"{x!r}D" if isinstance(x, float) else '"' + x + '"'
+
+    return "map(" + ", ".join(f"{sql(k)}, {sql(v)}" for k, v in entries.items()) + ")"
+
+
 def by_language(lang: Column, build) -> Column:
     """Pick ``build(language)`` by a language column; anything unknown is English."""
     return F.when(lang == "es", build(SPANISH)).otherwise(build(ENGLISH))
@@ -304,7 +312,7 @@ def unit_lookup(words_df: DataFrame, units: DataFrame, word="word", lang="lang")
     builtin = by_language(
         F.col(lang),
         lambda t: F.try_element_at(
-            F.create_map(*[F.lit(x) for kv in t.units.items() for x in kv]), F.col(word)
+            F.expr(map_literal(t.units)), F.col(word)
         ),
     )
     # rows of a language plus the neutral ones; the last row by name wins a form

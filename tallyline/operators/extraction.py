@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions.text import all_in, code_display, format_quantity, trim_space
-from tallyline.lexicon import by_language, in_set
+from tallyline.lexicon import by_language, in_set, map_literal
 from tallyline.operators.numbers import with_cells, with_classes, with_numbers
-from tallyline.operators.tokens import END, with_norm, with_tokens, words_of
+from tallyline.operators.tokens import END, fence, with_norm, with_tokens
 
 # --- cell patterns ---------------------------------------------------------
 
@@ -166,7 +166,7 @@ def scan_numbers(df: DataFrame, text: str = "text", lang: str = "lang",
                  out: str = "numbers") -> DataFrame:
     """Add the number spans of a text, left to right and non-overlapping."""
     df = with_numbers(with_classes(with_tokens(with_norm(df, F.col(text))), lang), lang)
-    return df.withColumn(out, F.col("_nums")).drop(*INTERNAL)
+    return fence(df.withColumn(out, F.col("_nums")).drop(*INTERNAL), out)
 
 
 def extract_location(df: DataFrame) -> DataFrame:
@@ -317,10 +317,160 @@ def _slots(df: DataFrame) -> DataFrame:
     for stage in (extract_location, extract_corrections, extract_quantity, extract_item,
                   extract_description, assemble):
         df = stage(df)
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
+    return fence(df.drop(*[c for c in df.columns if c.startswith("_")]), "parse")
 
 
 def extract(df: DataFrame, text: str = "text", lang: str = "lang",
             extra_units: list[str] | None = None, unit_words: str | None = None) -> DataFrame:
     """One observation per utterance: adds the ``parse`` struct."""
     return _slots(prepare(df, text, lang, extra_units, unit_words))
+
+
+# --- several items in one utterance ----------------------------------------
+
+_CUT = (
+    f"(?<=[,;]){_cell(kind='c', num=r'[-^]')}[,;]"
+    f"(?={_cell(num='[=:?]')}[,;](?:{_CONT}[,;])*+(?:{_cell(unit='u')}|{_ANY * 5}[,;]{_OF})"
+    f"|{_cell(kind='a', num=r'[-_^]')}[,;]{_cell(unit='u')})"
+)
+
+
+def split_items(df: DataFrame, text: str = "text", lang: str = "lang",
+                extra_units: list[str] | None = None) -> DataFrame:
+    """One row per item of an utterance: adds ``item_no`` and its ``_norm`` text.
+
+    Cut at conjunctions outside numbers that are followed by a number and a
+    unit, a number and "<word> of", or an article and a unit.
+    """
+    df = prepare(with_norm(df, F.col(text), "_text"), "_text", lang, extra_units)
+    parts = F.split(F.regexp_replace("_S", _CUT, "|"), "\\|")
+    df = df.withColumn("_parts", parts)
+    # token offsets: items before, plus one dropped conjunction per cut
+    counts = F.transform("_parts", lambda p: _tokens_in(p))
+    df = df.withColumn("_counts", counts)
+    df = df.withColumn("_words", F.split("_text", " "))
+    pieces = F.transform("_counts", lambda n, k: F.array_join(F.slice(
+        F.col("_words"),
+        F.aggregate(F.slice(F.col("_counts"), 1, k), F.lit(0), lambda a, x: a + x) + k + 1, n), " "))
+    df = df.withColumn("_pieces", F.filter(pieces, lambda p: p != ""))
+    df = df.withColumn("_pieces", F.when(
+        F.size("_pieces") == 0, F.array(F.lit(""))).otherwise(F.col("_pieces")))
+    keep = [c for c in df.columns if not c.startswith("_")]
+    return df.select(*keep, F.size("_pieces").alias("item_count"),
+                     F.posexplode_outer("_pieces").alias("item_no", "_norm"))
+
+
+def extract_items(df: DataFrame, key: str, text: str = "text", lang: str = "lang",
+                  extra_units: list[str] | None = None,
+                  resolver=None) -> DataFrame:
+    """Every item of an utterance; a later item without location inherits one.
+
+    ``resolver`` is applied before inheritance, so the inherited certainty is
+    0.9 per hop of the resolved one. Utterances are bounded by one text, so a
+    window per utterance stays small.
+    """
+    items = split_items(df, text, lang, extra_units)
+    items = items.withColumn("_norm", F.when(F.col("_norm") == "", "").otherwise(
+        F.concat(F.rtrim(F.replace("_norm", F.lit(END), F.lit(","))), F.lit(","))))
+    items = _slots(prepare(items, "_norm", lang, extra_units))
+    if resolver is not None:
+        items = resolver(items)
+    p = F.col("parse")
+    w = Window.partitionBy(key).orderBy("item_no")
+    source = F.when(p["location_text"] != "", F.struct(F.col("item_no").alias("no"), p.alias("p")))
+    items = items.withColumn("_src", F.last(source, ignorenulls=True).over(w))
+    inherits = (p["location_text"] == "") & F.col("_src").isNotNull()
+    hops = F.col("item_no") - F.col("_src")["no"]
+    carried = p.withField("location_text", F.col("_src")["p"]["location_text"])
+    if resolver is not None:
+        for name in ("location_id", "location_score"):
+            carried = carried.withField(name, F.col("_src")["p"][name])
+        carried = carried.withField(
+            "cert_location", F.col("_src")["p"]["cert_location"] * F.pow(F.lit(0.9), hops))
+    return items.withColumn("parse", F.when(inherits, carried).otherwise(p)).drop("_src")
+
+
+# --- spoken values and commands --------------------------------------------
+
+
+def _whole_location(cells: str) -> Column:
+    text = F.col(cells)
+    return F.when(text.rlike(WHOLE_LOCATION), _render(
+        F.col("_cells"), F.size("_fold") - _tokens_in(text), _tokens_in(text)))
+
+
+def location_value(df: DataFrame, value: str = "value", lang: str = "lang",
+                   out: str = "location_text") -> DataFrame:
+    """A spoken location on its own: rendered when it is one, else the trimmed text."""
+    keep = df.columns
+    df = prepare(df, value, lang)
+    raw = trim_space(F.coalesce(value, F.lit("")))
+    text = F.coalesce(_whole_location("_S"), F.when(F.size("_fold") > 0, raw))
+    return fence(df.withColumn(out, text).select(*keep, out), out)
+
+
+def quantity_value(df: DataFrame, value: str = "value", lang: str = "lang",
+                   out: str = "quantity") -> DataFrame:
+    """A spoken quantity on its own: the first definite number and its approximation."""
+    keep = df.columns
+    df = prepare(df, value, lang)
+    first = F.get(F.filter("_nums", lambda n: ~n["vague"]), F.lit(0))
+    df = df.withColumns({out: first["value"], f"{out}_approx": first["approx"]})
+    return fence(df.select(*keep, out, f"{out}_approx"), out, f"{out}_approx")
+
+
+def commands(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Voice command of an utterance: adds ``command`` ``{kind, field, value}``.
+
+    The order of the tests decides: scratch, confirm, explicit field, negation
+    shorthand, reject; null for dictation.
+    """
+    keep = df.columns
+    df = prepare(df, text, lang)
+    lg, folds = F.col(lang), F.col("_fold")
+    spoken = F.array_join(folds, " ")
+
+    def member(word: Column, attribute: str) -> Column:
+        return F.coalesce(in_set(lg, word, attribute), F.lit(False))
+
+    # [change] [article] field [is|to] value
+    change = member(F.get(folds, F.lit(0)), "change")
+    i = F.when(change, 1).otherwise(0)
+    i = i + F.when(member(F.get(folds, i), "articles"), 1).otherwise(0)
+    df = df.withColumns({"_change": change, "_field_at": i})
+    fields = by_language(lg, lambda t: F.try_element_at(
+        F.expr(map_literal(t.fields)), F.get(folds, F.col("_field_at"))))
+    follow = F.get(folds, F.col("_field_at") + 1)
+    df = df.withColumns({"_field": fields, "_sep": member(follow, "is_words") | member(
+        follow, "to_words")})
+    at = F.col("_field_at") + F.when(F.col("_sep"), 2).otherwise(1)
+    df = df.withColumn("_value", F.when(
+        F.col("_field").isNotNull() & (F.col("_sep") | F.col("_change")) & (F.size(folds) > at),
+        F.array_join(F.slice("_orig", at + 1, F.size(folds)), " ")))
+
+    # negation at the start, then the rest as a value of its own
+    rest = F.regexp_replace("_S", f"^{_NEGATION}[,;]", "")
+    df = df.withColumn("_rest", F.when(F.col("_S").rlike(f"^{_NEGATION}[,;]"), rest))
+    df = df.withColumn("_loc_value", F.when(F.col("_rest") != "", _whole_location("_rest")))
+    start = F.size(folds) - _tokens_in(F.col("_rest"))
+    number = F.get(F.filter("_nums", lambda n: (n["mark_start"] == start)
+                            | (n["start"] == start)), F.lit(0))
+    df = df.withColumn("_qty_value", F.when(
+        (F.col("_rest") != "") & F.col("_rest").rlike(WHOLE_QUANTITY),
+        format_quantity(number["value"])))
+
+    def command(kind, field=None, value=None) -> Column:
+        text_or_null = lambda v: F.lit(v).cast("string") if not isinstance(v, Column) else v
+        return F.struct(F.lit(kind).alias("kind"), text_or_null(field).alias("field"),
+                        text_or_null(value).alias("value"))
+
+    rejects = by_language(lg, lambda t: all_in(folds, t.reject))
+    found = (
+        F.when(by_language(lg, lambda t: spoken.isin(*t.scratch)), command("scratch"))
+        .when(by_language(lg, lambda t: all_in(folds, t.confirm)), command("confirm"))
+        .when(F.col("_value").isNotNull(), command("set_field", F.col("_field"), F.col("_value")))
+        .when(F.col("_loc_value").isNotNull(), command("set_field", "location", F.col("_loc_value")))
+        .when(F.col("_qty_value").isNotNull(), command("set_field", "quantity", F.col("_qty_value")))
+        .when(rejects, command("reject"))
+    )
+    return fence(df.withColumn("command", found).select(*keep, "command"), "command")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.text import is_code, is_number, parse_digits
-from tallyline.lexicon import Language, by_language
+from tallyline.lexicon import Language, by_language, map_literal
 
 SPAN = "struct<value:double,approx:boolean,vague:boolean,start:int,end:int>"
 
@@ -65,16 +65,12 @@ def _entry(t: Language, w: str) -> str:
     ))
 
 
-def _map(entries: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in entries.items() for x in kv])
-
-
 def _codes(t: Language) -> Column:
     """26 small maps by first letter, so a lookup scans a handful of keys."""
     by_letter: dict[str, dict[str, str]] = {chr(97 + k): {"-": ""} for k in range(26)}
     for w in t.vocabulary:
         by_letter[w[0]][w] = _entry(t, w)
-    return F.array(*[_map(m) for m in by_letter.values()])
+    return F.expr("array(" + ", ".join(map_literal(m) for m in by_letter.values()) + ")")
 
 
 def _phrases(entries, n: int) -> list[str]:
@@ -280,8 +276,9 @@ def _word_value(t: Language, c: Column, w: Column, pair: Column) -> Column:
     return (
         F.when(c == "u", F.lit(1.0)).when(c == "d", parse_digits(w))
         .when(c.isin("S", "E", "s", "e"), F.coalesce(
-            F.try_element_at(_map(vague), pair), F.try_element_at(_map(vague), w)))
-        .when(c.isin("o", "t", "h", "B"), F.try_element_at(_map(numbers), w))
+            F.try_element_at(F.expr(map_literal(vague)), pair),
+            F.try_element_at(F.expr(map_literal(vague)), w)))
+        .when(c.isin("o", "t", "h", "B"), F.try_element_at(F.expr(map_literal(numbers)), w))
     )
 
 

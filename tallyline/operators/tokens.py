@@ -62,6 +62,18 @@ def with_norm(df: DataFrame, text: Column, out: str = "_norm") -> DataFrame:
         n.startswith(END), F.regexp_replace(n, f"^{END} ?", "")))
 
 
+def fence(df: DataFrame, *names: str) -> DataFrame:
+    """Keep later filters on ``names`` above this point.
+
+    A filter on an extracted column would otherwise be rewritten in terms of
+    the text, repeating the whole chain of projections inside the condition.
+    Filters on other columns still reach the scan.
+    """
+    rest = [c for c in df.columns if c not in names]
+    boxed = df.select(*rest, F.explode_outer(F.array(F.struct(*names))).alias("_box"))
+    return boxed.select(*rest, *[F.col(f"_box.{n}").alias(n) for n in names])
+
+
 def words_of(norm: Column) -> Column:
     """Original spelling of the tokens."""
     plain = F.replace(norm, F.lit(END), F.lit(""))
@@ -97,10 +109,11 @@ def tokenize(df: DataFrame, text: str = "text", out: str = "tokens") -> DataFram
     df = df.withColumn(
         "_clause", F.flatten(F.transform(sizes, lambda n, c: F.array_repeat(c, n)))
     )
-    return df.withColumn(
+    df = df.withColumn(
         out,
         F.transform("_orig", lambda w, i: F.struct(
             i.alias("pos"), w.alias("orig"), F.get("_fold", i).alias("fold"),
             F.get("_end", i).alias("clause_end"), F.get("_clause", i).alias("clause"),
         )),
     ).drop("_norm", "_orig", "_fold", "_flag", "_end", "_clause")
+    return fence(df, out)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # timestamps are UTC instants; formatting must not depend on the host
@@ -15,6 +18,8 @@ SETTINGS = {
     # the JVM never compiles methods above 8000 bytes; long projection chains
     # run faster as separate operators than as one interpreted loop
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # call-site capture on every Column operation slows down plan building
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -43,6 +48,26 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names for lineage cuts, if it names one."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names for lineage cuts.
+
+    Only a local session may fall back to a folder of its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once and read it back.
+
+    Used where several consumers would each repeat an expensive plan; a lost
+    executor costs a re-read of files, never a recomputation.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
