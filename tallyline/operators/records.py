@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.text import format_quantity, rfc3339_seconds
@@ -195,8 +195,9 @@ def apply_voids(df: DataFrame, voids: DataFrame) -> DataFrame:
 
 def number_corrections(log: DataFrame) -> DataFrame:
     """Sequence number of each correction within its record."""
-    w = Window.partitionBy("observation_id").orderBy("at", "pos")
-    return log.withColumn("seq", F.row_number().over(w).cast("bigint"))
+    ordered = log.withColumn("_ord", F.struct("at", "pos"))
+    return numbered(ordered, ["observation_id"], "_ord", F.date_trunc("hour", "at"), "seq").drop(
+        "_ord")
 
 
 def attach_corrections(df: DataFrame, log: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.similarity import jaro_winkler
 from tallyline.functions.text import depluralize, fold, strip_separators, trim_space
+from tallyline.session import cut_lineage
 
 # Acceptance threshold and score of a code match.
 THRESHOLD = 0.85
@@ -133,7 +134,8 @@ def match_texts(texts: DataFrame, keys: DataFrame, code: bool,
     Ties go to the smallest id. Texts without a match above the threshold are
     absent.
     """
-    q = texts.select(F.col("fold")).where("fold != ''").distinct()
+    # the distinct texts are read several times below: written once
+    q = cut_lineage(texts.select(F.col("fold")).where("fold != ''").distinct())
     exact = q.join(keys.select("fold", "id"), "fold").groupBy("fold").agg(
         F.min("id").alias("id")).withColumn("score", F.lit(1.0))
     rest = q.join(exact, "fold", "left_anti").withColumns({

@@ -109,11 +109,13 @@ def tokenize(df: DataFrame, text: str = "text", out: str = "tokens") -> DataFram
     df = df.withColumn(
         "_clause", F.flatten(F.transform(sizes, lambda n, c: F.array_repeat(c, n)))
     )
-    df = df.withColumn(
-        out,
-        F.transform("_orig", lambda w, i: F.struct(
-            i.alias("pos"), w.alias("orig"), F.get("_fold", i).alias("fold"),
-            F.get("_end", i).alias("clause_end"), F.get("_clause", i).alias("clause"),
+    zipped = F.arrays_zip("_orig", "_fold", "_end", "_clause")
+    # arrays_zip keeps the arrays outside the lambda (see numbers.with_cells)
+    df = df.withColumn(out, F.transform(
+        F.slice(zipped, 1, F.size("_orig")),
+        lambda z, i: F.struct(
+            i.alias("pos"), z["_orig"].alias("orig"), z["_fold"].alias("fold"),
+            z["_end"].alias("clause_end"), z["_clause"].alias("clause"),
         )),
     ).drop("_norm", "_orig", "_fold", "_flag", "_end", "_clause")
     return fence(df, out)

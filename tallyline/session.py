@@ -18,8 +18,6 @@ SETTINGS = {
     # the JVM never compiles methods above 8000 bytes; long projection chains
     # run faster as separate operators than as one interpreted loop
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    # call-site capture on every Column operation slows down plan building
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -38,6 +36,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        # call-site capture on every Column operation slows down plan building
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )

@@ -1,0 +1,85 @@
+"""Replay of device event logs through the capture states.
+
+The states are idle, armed and reviewing. Every event kind maps each state to
+a next one, and maps compose: a chunk of events is summed up as the three
+states it leads to, chunk sums are chained per device, and each chunk then
+replays from its own entry state. A device with most of the events is thus
+spread over many tasks.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tallyline.operators.ordered import numbered
+
+# Next state per kind, for idle, armed, reviewing.
+NEXT = {
+    "arm": "aar", "disarm": "iir", "observe": "irr", "observe_auto": "iar",
+    "confirm": "iaa", "scratch": "iaa", "reject": "iar", "set_field": "iar",
+}
+STATES = {"i": "idle", "a": "armed", "r": "reviewing"}
+
+
+def _move(kind: Column) -> Column:
+    out = None
+    for k, m in NEXT.items():
+        out = F.when(kind == k, m) if out is None else out.when(kind == k, m)
+    return out.otherwise("iar")
+
+
+def _after(states: Column, move: Column) -> Column:
+    """Apply a move to every state of a text of states."""
+    return F.array_join(F.transform(F.split(states, ""), lambda s: F.substr(
+        move, F.call_function("instr", F.lit("iar"), s), F.lit(1))), "")
+
+
+def action(state: Column, kind: Column) -> Column:
+    """What an event does in a state."""
+    review = state == "r"
+    observing = kind.isin("observe", "observe_auto")
+    return (
+        F.when(observing, F.when(review, "redictate").when(state == "a", "new_record")
+               .otherwise("error"))
+        .when(kind == "confirm", F.when(review, "save").otherwise("error"))
+        .when(kind == "reject", F.when(review, "read_back").otherwise("error"))
+        .when(kind == "set_field", F.when(review, "correct").otherwise("error"))
+        .when(kind == "scratch", F.when(review, "discard").otherwise("discard_last"))
+        .otherwise("state")
+    )
+
+
+def replay(events: DataFrame, chunk: Column, size: int = 1_000) -> DataFrame:
+    """Add the state before and after each event and the action taken.
+
+    ``events`` is ``(device_id, seq, kind)``; ``chunk`` is monotone in ``seq``.
+    """
+    n = numbered(events, ["device_id"], "seq", chunk, "_pos").withColumn(
+        "_bucket", F.floor((F.col("_pos") - 1) / size)).withColumn("_m", _move(F.col("kind")))
+    lists = n.groupBy("device_id", "_bucket").agg(F.array_sort(F.collect_list(F.struct(
+        "seq", "kind", "_m"))).alias("_e"))
+    sums = lists.withColumn("_sum", F.aggregate(
+        "_e", F.lit("iar"), lambda s, e: _after(s, e["_m"])))
+    # entry state of a chunk: chained sums of the chunks before it
+    w = Window.partitionBy("device_id").orderBy("_bucket").rowsBetween(
+        Window.unboundedPreceding, -1)
+    entered = sums.select("device_id", "_bucket", F.aggregate(
+        F.collect_list("_sum").over(w), F.lit("i"), _after).alias("_entry"))
+    step = "array<struct<seq:bigint,kind:string,before:string,after:string>>"
+
+    def walk(s: Column, e: Column) -> Column:
+        after = _after(s["state"], e["_m"])
+        return F.get(F.transform(F.array(after), lambda a: F.struct(
+            a.alias("state"), F.concat(s["out"], F.array(F.struct(
+                e["seq"].cast("bigint").alias("seq"), e["kind"].alias("kind"),
+                s["state"].alias("before"), a.alias("after")))).alias("out"))), F.lit(0))
+
+    walked = lists.join(entered, ["device_id", "_bucket"]).select("device_id", F.explode(F.aggregate(
+        "_e", F.struct(F.col("_entry").alias("state"), F.array().cast(step).alias("out")),
+        walk, lambda s: s["out"])).alias("x"))
+    before, after = F.col("x.before"), F.col("x.after")
+    names = F.create_map(*[F.lit(v) for kv in STATES.items() for v in kv])
+    return walked.select(
+        "device_id", "x.seq", "x.kind", F.element_at(names, before).alias("state_before"),
+        F.element_at(names, after).alias("state_after"), action(before, F.col("x.kind")).alias("action"))
