@@ -9,6 +9,8 @@ its measured size allows and shuffles otherwise.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,20 +36,31 @@ def reference_keys(dim: DataFrame, id_col: str) -> DataFrame:
 #
 # Score = j + 0.1 p (1 - j) with p <= 4 common leading characters, and
 # j <= (m/la + m/lb + 1) / 3 with m at most the number c of common characters.
-# Score >= 0.85 therefore needs c (1/la + 1/lb) >= 3 j - 1:
-#   any p          j >= 0.75     c >= 1.25   la lb / (la + lb)
-#   p <= 2         j >= 0.8125   c >= 1.4375 la lb / (la + lb)
-# Two bags sharing c of their characters share e <= c of them within the first
-# (length - c + e) in any fixed order (prefix filter). A signature is e such
-# characters plus the length classes of both sides; pairs with p >= 3 also
-# carry the three leading characters.
+# A score of at least t therefore needs j >= (t - 0.1 p) / (1 - 0.1 p) and
+# c (1/la + 1/lb) >= k = 3 j - 1; for t = 0.85, k is 1.25 in general and 1.4375
+# for pairs with p <= 2. Two bags sharing c of their characters share e <= c of
+# them within the first (length - c + e) in any fixed order (prefix filter). A
+# signature is e such characters plus the length classes of both sides; pairs
+# with p >= 3 also carry the three leading characters.
 
 _COMMON = "etaoinsrlcdmuphgbfyvkwxzjq0123456789 -"
 _RATIO = 1.25
-_FAMILIES = (("p3", 1.25, 7), ("p0", 1.4375, 4))
 _LONG = 40
 
 
+def _need(threshold: float, prefix: int) -> float:
+    return 3 * (threshold - 0.1 * prefix) / (1 - 0.1 * prefix) - 1
+
+
+def _families(threshold: float) -> list[tuple[str, float, int]]:
+    """Name, k and the largest distance of length classes per signature family."""
+    out = []
+    for name, prefix in (("p3", 4), ("p0", 2)):
+        k = _need(threshold, prefix) - 1e-9
+        out.append((name, k, math.floor(math.log(1 / (k - 1)) / math.log(_RATIO)) + 1))
+    return out
+
+
 def _bin(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(_RATIO)) + 1e-9).cast("int")
 
@@ -71,12 +84,13 @@ def _numbered(bag: Column) -> Column:
         c, (i + 1 - F.array_position(bag, c)).cast("string")))
 
 
-def _signatures(strings: DataFrame, bins: DataFrame, mine: str, other: str) -> DataFrame:
+def _signatures(strings: DataFrame, bins: DataFrame, mine: str, other: str,
+                threshold: float) -> DataFrame:
     """Signatures of ``(s, form)`` rows against the length classes in ``bins``."""
     base = strings.withColumns({"n": F.length("s").cast("double"), "_bag": _bag(F.col("s"))})
     base = base.withColumns({"tokens": _numbered(F.col("_bag")), mine: _bin(F.col("n"))}).drop("_bag")
     out = None
-    for family, k, reach in _FAMILIES:
+    for family, k, reach in _families(threshold):
         part = base.withColumn(other, F.explode(F.sequence(
             F.greatest(F.col(mine) - reach, F.lit(0)), F.col(mine) + reach)))
         part = part.join(bins.withColumnRenamed("bin", other), other)
@@ -108,13 +122,13 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOL
         raise ValueError("signatures are exact for thresholds of 0.85 and above")
     lbins = left.select(_bin(F.length("s")).alias("bin")).distinct()
     rbins = right.select(_bin(F.length("s")).alias("bin")).distinct()
-    ls = _signatures(left, rbins, "qbin", "kbin").withColumnRenamed("s", "q")
-    rs = _signatures(right, lbins, "kbin", "qbin").select(F.col("s").alias("k"), "sig")
+    ls = _signatures(left, rbins, "qbin", "kbin", threshold).withColumnRenamed("s", "q")
+    rs = _signatures(right, lbins, "kbin", "qbin", threshold).select(F.col("s").alias("k"), "sig")
     pairs = ls.join(rs, "sig").select("q", "k", "form").distinct()
     short = F.least(F.length("q"), F.length("k"))
     long = F.greatest(F.length("q"), F.length("k"))
     return (
-        pairs.where(1 + short / long >= 1.25)
+        pairs.where(1 + short / long >= _need(threshold, 4) - 1e-9)
         .withColumn("score", jaro_winkler("q", "k"))
         .where(F.col("score") >= threshold - 1e-12)
     )
@@ -138,27 +152,42 @@ def match_texts(texts: DataFrame, keys: DataFrame, code: bool,
     q = cut_lineage(texts.select(F.col("fold")).where("fold != ''").distinct())
     exact = q.join(keys.select("fold", "id"), "fold").groupBy("fold").agg(
         F.min("id").alias("id")).withColumn("score", F.lit(1.0))
-    rest = q.join(exact, "fold", "left_anti").withColumns({
+    rest = cut_lineage(q.join(exact, "fold", "left_anti")).withColumns({
         "canon": strip_separators("fold"), "deplu": depluralize("fold")})
+    if rest.isEmpty():
+        return exact
     k = keys.select("id", F.col("fold").alias("kfold"), F.col("canon").alias("kcanon"),
                     F.col("deplu").alias("kdeplu"))
-    by_text = similar_pairs(_forms(rest, "fold", "deplu"), _forms(keys, "fold", "deplu"), threshold)
-    plain = by_text.where("form = 'f'").select(
-        F.col("q").alias("fold"), F.col("k").alias("kfold"), "score")
-    single = by_text.where("form = 'd'").select(
-        F.col("q").alias("deplu"), F.col("k").alias("kdeplu"), "score")
-    scored = (
-        plain.join(rest, "fold").join(k, "kfold")
-        .select("fold", "canon", "id", "kcanon", "score")
-        .unionByName(single.join(rest, "deplu").join(k, "kdeplu")
-                     .select("fold", "canon", "id", "kcanon", "score"))
-    )
-    if code:
-        # a key equal as a code scores as a code, never by similarity
-        scored = scored.where((F.col("canon") == "") | (F.col("canon") != F.col("kcanon")))
-        codes = rest.where("canon != ''").join(k, F.col("canon") == F.col("kcanon")).select(
-            "fold", "id", F.lit(CODE_SCORE).alias("score"))
-        scored = scored.select("fold", "id", "score").unionByName(codes)
+
+    def by_similarity(part: DataFrame, at_least: float) -> DataFrame:
+        pairs = similar_pairs(_forms(part, "fold", "deplu"), _forms(keys, "fold", "deplu"), at_least)
+        plain = pairs.where("form = 'f'").select(
+            F.col("q").alias("fold"), F.col("k").alias("kfold"), "score")
+        single = pairs.where("form = 'd'").select(
+            F.col("q").alias("deplu"), F.col("k").alias("kdeplu"), "score")
+        return (
+            plain.join(part, "fold").join(k, "kfold")
+            .select("fold", "canon", "id", "kcanon", "score")
+            .unionByName(single.join(part, "deplu").join(k, "kdeplu")
+                         .select("fold", "canon", "id", "kcanon", "score"))
+        )
+
+    if not code:
+        scored = by_similarity(rest, threshold).select("fold", "id", "score")
+    else:
+        codes = cut_lineage(rest.where("canon != ''").join(
+            k, F.col("canon") == F.col("kcanon")).groupBy("fold").agg(F.min("id").alias("id"))
+        ).withColumn("score", F.lit(CODE_SCORE))
+        # next to a code match only a higher similarity matters; a key equal as
+        # a code scores as a code, never by similarity
+        uncoded = rest.join(codes, "fold", "left_anti")
+        coded = rest.join(codes, "fold", "left_semi")
+        scored = codes
+        for part, at_least in ((uncoded, threshold), (coded, CODE_SCORE)):
+            if not part.isEmpty():
+                scored = scored.unionByName(by_similarity(part, at_least).where(
+                    (F.col("canon") == "") | (F.col("canon") != F.col("kcanon"))
+                ).select("fold", "id", "score"))
     best = scored.groupBy("fold").agg(F.min(F.struct(
         (-F.col("score")).alias("s"), F.col("id").alias("id"))).alias("b"))
     return exact.unionByName(best.select(
@@ -169,10 +198,10 @@ def resolve(df: DataFrame, text: str, dim: DataFrame, id_col: str, out_id: str,
             out_score: str, code: bool, threshold: float = THRESHOLD) -> DataFrame:
     """Add the resolved id and score of a text column; null when unresolved."""
     keys = reference_keys(dim, id_col)
-    df = df.withColumn("_q", fold(trim_space(text)))
-    hits = match_texts(df.select(F.col("_q").alias("fold")), keys, code, threshold).select(
-        F.col("fold").alias("_q"), F.col("id").alias(out_id), F.col("score").alias(out_score))
-    return df.join(hits, "_q", "left").drop("_q")
+    df = df.withColumn("_folded", fold(trim_space(text)))
+    hits = match_texts(df.select(F.col("_folded").alias("fold")), keys, code, threshold).select(
+        F.col("fold").alias("_folded"), F.col("id").alias(out_id), F.col("score").alias(out_score))
+    return df.join(hits, "_folded", "left").drop("_folded")
 
 
 def has_rows(dim: DataFrame | None) -> bool:

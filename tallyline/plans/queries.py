@@ -849,7 +849,9 @@ def apply_edits(spark, d):
     edits = df.select(
         "id", F.element_at(F.array(*map(F.lit, (
             "location", "quantity", "unit", "item", "description"))), (k % 5 + 1).cast("int")).alias("field"),
-        F.when(k % 5 == 0, "bin a 14").when(k % 5 == 1, "fifteen").when(k % 5 == 2, " Reels ")
+        F.when(k % 5 == 0, "bin a 14").when(
+            k % 5 == 1, F.when(F.col("language") == "es", "quince").otherwise("fifteen"))
+        .when(k % 5 == 2, " Reels ")
         .when(k % 5 == 3, F.concat(F.lit("gadget "), (k % 30).cast("string"))).otherwise("dusty").alias("value"),
         F.col("captured_at").alias("at"))
     out = ed.apply_edits(df, edits, location_dimension(spark, d), part_dimension(spark, d))
