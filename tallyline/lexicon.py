@@ -288,6 +288,26 @@ def lexicon_frame(spark: SparkSession) -> DataFrame:
     )
 
 
+def match_phrases(df: DataFrame, lexicon: DataFrame, key: str, tokens: str = "tokens",
+                  lang: str = "lang") -> DataFrame:
+    """Longest vocabulary phrase of every class at each token: ``(key, pos, class, n_tokens)``.
+
+    Runs of up to three tokens join the vocabulary on language and text; the
+    vocabulary is a small fixed table, so the join needs no shuffle.
+    """
+    words_at = F.col(tokens)
+    grams = df.select(
+        key, lang,
+        F.explode(F.flatten(F.transform(words_at, lambda t, i: F.transform(
+            F.sequence(F.lit(1), F.least(F.lit(3), F.size(words_at) - i)),
+            lambda n: F.struct(i.alias("pos"), F.array_join(F.transform(
+                F.slice(words_at, i + 1, n), lambda w: w["fold"]), " ").alias("phrase")),
+        )))).alias("g")).select(key, F.col(lang).alias("_lang"), "g.pos", "g.phrase")
+    vocabulary = lexicon.select(F.col("lang").alias("_lang"), "class", "phrase", "n_tokens")
+    return grams.join(vocabulary, ["_lang", "phrase"]).groupBy(key, "pos", "class").agg(
+        F.max("n_tokens").alias("n_tokens"))
+
+
 def unit_rows(units: DataFrame) -> DataFrame:
     """Backend unit rows as ``(lang, form, canonical)``; empty language is every language."""
     canonical = fold(trim_space("name"))

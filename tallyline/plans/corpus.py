@@ -9,12 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.session import configure
+from tallyline.session import configure, spread
+
+
+# the tables whose queries run text extraction on every row
+TEXT_TABLES = ("orders", "documents", "part")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name in TEXT_TABLES else scan
 
 
 # --- records ---------------------------------------------------------------

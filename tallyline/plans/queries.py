@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline import sources
+from tallyline import lexicon, sources
 from tallyline.functions import similarity as sim
 from tallyline.functions import text as tx
-from tallyline.lexicon import unit_lookup
 from tallyline.operators import analytics as an
 from tallyline.operators import edits as ed
 from tallyline.operators import extraction as ex
@@ -561,22 +560,45 @@ def document_tokens(spark, d):
 # --- extraction ------------------------------------------------------------
 
 
-@query("SELECT o_orderkey AS k, (o_orderkey + 1)::DOUBLE AS value, FALSE AS approx FROM orders WHERE o_orderkey < 999999")
+@query("SELECT o_orderkey AS k, (o_orderkey % 999999 + 1)::DOUBLE AS value, FALSE AS approx FROM orders")
 def num_words(spark, d):
     from tallyline.plans.corpus import spoken
-    o = table(spark, d, "orders").where("o_orderkey < 999999")
-    said = o.select(F.col("o_orderkey").alias("k"), spoken(F.col("o_orderkey") + 1).alias("text"),
-                    F.lit("en").alias("lang"))
+    k = F.col("o_orderkey")
+    said = table(spark, d, "orders").select(
+        k.alias("k"), spoken(k % 999999 + 1).alias("text"), F.lit("en").alias("lang"))
     n = ex.scan_numbers(said)
     return n.select("k", F.col("numbers")[0]["value"].alias("value"),
                     (F.col("numbers")[0]["approx"] | (F.size("numbers") != 1)).alias("approx"))
 
 
-@query("""SELECT utt_id, CASE WHEN variant = 3 THEN num::DOUBLE ELSE q END AS first_number FROM utt
-  WHERE variant IN (0, 2, 3, 7)""", utt=True)
+@query("""SELECT utt_id, CASE variant WHEN 3 THEN num::DOUBLE WHEN 5 THEN q + 1 WHEN 6 THEN NULL
+  ELSE q END AS first_number, variant IN (2, 6) AS approx FROM said""", utt=True)
 def num_scan(spark, d):
-    u = utterances(spark, d).where("variant IN (0, 2, 3, 7)")
-    return ex.scan_numbers(u).select("utt_id", F.col("numbers")[0]["value"].alias("first_number"))
+    first = F.col("numbers")[0]
+    return ex.scan_numbers(utterances(spark, d)).select(
+        "utt_id", first["value"].alias("first_number"), first["approx"].alias("approx"))
+
+
+@query("""SELECT p_partkey, n AS pos, CASE WHEN n < 2 THEN 0 WHEN n < 4 THEN 1 ELSE 2 END AS clause
+  FROM part, range(5) r(n)""")
+def clauses(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.concat(
+        F.lit("one two, "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" x; "),
+        "p_type").alias("text"))
+    t = tokenize_text(p).select("p_partkey", F.explode("tokens").alias("t"))
+    return t.select("p_partkey", F.col("t.pos").cast("bigint").alias("pos"), "t.clause")
+
+
+@query("""SELECT p_partkey, 0::BIGINT AS pos, 3::BIGINT AS n_tokens, 'approx' AS class FROM part
+  UNION ALL SELECT p_partkey, 3, 1, 'ones' FROM part UNION ALL SELECT p_partkey, 4, 1, 'unit' FROM part
+  UNION ALL SELECT p_partkey, 5, 1, 'of' FROM part""")
+def phrase_match(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.lit("en").alias("lang"), F.concat(
+        F.lit("more or less twelve boxes of "), "p_name").alias("text"))
+    hits = lexicon.match_phrases(
+        tokenize_text(p), lexicon.lexicon_frame(spark), "p_partkey")
+    return hits.select("p_partkey", F.col("pos").cast("bigint").alias("pos"),
+                       F.col("n_tokens").cast("bigint").alias("n_tokens"), "class")
 
 
 @query("SELECT utt_id, location FROM said", utt=True)
@@ -689,7 +711,7 @@ def document_extract(spark, d):
 @query("""SELECT l.word, count(*) AS n, CASE WHEN l.word IN ('boxes', 'box') THEN 'box'
   WHEN l.word = 'skids' THEN 'skid' END AS canonical_unit FROM (
   SELECT unnest(['boxes', 'skids', p_name]) AS word FROM part) l GROUP BY l.word""")
-def unit_lookup_words(spark, d):
+def unit_lookup(spark, d):
     from tallyline.schema import UNIT
     words = table(spark, d, "part").select(
         F.explode(F.array(F.lit("boxes"), F.lit("skids"), F.col("p_name"))).alias("word"),
@@ -697,7 +719,7 @@ def unit_lookup_words(spark, d):
     units = table(spark, d, "part").select(
         F.lit("skid").alias("name"), F.lit("en").alias("language"),
         F.array(F.lit("skids")).alias("aliases")).distinct()
-    return unit_lookup(words, units).groupBy("word", "canonical_unit").agg(
+    return lexicon.unit_lookup(words, units).groupBy("word", "canonical_unit").agg(
         F.count("*").alias("n")).select("word", "n", "canonical_unit")
 
 
