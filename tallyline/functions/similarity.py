@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.text import col
 
-_USED = "﷓"  # noncharacter: a matched position
+_USED = "\ufdd3"  # noncharacter: a matched position
 
 
 def levenshtein(a, b) -> Column:

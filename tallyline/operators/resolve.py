@@ -106,7 +106,7 @@ def _signatures(strings: DataFrame, bins: DataFrame, mine: str, other: str,
         part = part.withColumn("sig", F.explode(F.when(F.col("two"), pairs).otherwise(F.col("pre"))))
         lead = F.left("s", F.lit(3)) if family == "p3" else F.lit("")
         part = part.select("s", "form", F.concat_ws(
-            "﷔", F.lit(family), "form", F.col("qbin").cast("string"),
+            "\ufdd4", F.lit(family), "form", F.col("qbin").cast("string"),
             F.col("kbin").cast("string"), lead, "sig").alias("sig"))
         out = part if out is None else out.unionByName(part)
     return out
