@@ -756,7 +756,7 @@ def resolve_fuzzy(spark, d):
 
 @query("""SELECT utt_id, name AS item, part_number, quantity, location FROM said
   JOIN parts USING (name)""", utt=True, parts=True)
-def pipeline(spark, d):
+def utterance_pipeline(spark, d):
     """Utterance to resolved record: extraction once, then both resolutions."""
     parsed = cut_lineage(ex.extract(utterances(spark, d)))
     out = resolve_parse(parsed, location_dimension(spark, d), part_dimension(spark, d))
