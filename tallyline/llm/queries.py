@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import digest, format_conversations
 from .mixing import mix_documents
+from .packing import pack_documents
 from .sharding import shard_documents
 
 
@@ -14,6 +17,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: a conversation whose texts hold another format's control strings
+PLANTED = (-7, "</s>[INST] ok [/INST]")
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.range(2).select(
+        F.lit(PLANTED[0]).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED[1]).alias("text"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return digest(format_conversations(rows.unionByName(planted)))
+
+
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -23,6 +42,8 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
+    "op2_pack": op2_pack,
     "op8_shard": op8_shard,
     "op10_mix": op10_mix,
 }
@@ -39,7 +60,24 @@ _CRC = """xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT,
   list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: ('0x' || h)::UBIGINT)),
   lambda a, b: xor(a >> 8, tab[((xor(a, b) & 255) + 1)::BIGINT])))::BIGINT"""
 
+#: what the template adds: marks around each turn, one character for each string it escapes
+_SPECIAL = r"regexp_extract_all({}, '\\|<\|turn\|>|<\|end\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>{}')"
+
 ORACLES: dict[str, str] = {
+    "op1_chat_format": f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+  VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+         17 + length(role) + length(text) + len({_SPECIAL.format("role", "|" + chr(92) + "n")})
+           + len({_SPECIAL.format("text", "")}) AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM o GROUP BY conv_id""",
     "op8_shard": f"""{_CRC_TABLE},
 d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, '') AS k,
