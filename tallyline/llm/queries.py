@@ -12,6 +12,7 @@ from .mixing import mix_documents
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .sharding import shard_documents
+from .topk import top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_pack": op2_pack,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_top_k": op5_top_k,
     "op8_shard": op8_shard,
     "op10_mix": op10_mix,
 }
@@ -101,6 +107,15 @@ c AS (SELECT u, least(u, min(v)) AS component_id FROM r GROUP BY u)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
        doc_id = coalesce(component_id, doc_id) AS kept
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.u = doc_id""",
+    "op5_top_k": """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.r <> c.r),
+o AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 20""",
     "op8_shard": f"""{_CRC_TABLE},
 d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, '') AS k,
