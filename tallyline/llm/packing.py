@@ -2,7 +2,7 @@
 
 Pass one tokenizes every document once and writes the ids with their place inside the
 partition. The partitions' totals are summed to global offsets (one number per task comes
-to the driver). Pass two cuts the stream at multiples of the window, without a shuffle. A
+to the driver). Pass two cuts the stream at multiples of the window, and sends no ids between tasks. A
 window that lies across two partitions is kept as boundary records, which ``sequences``
 joins; all others are complete where they are.
 
@@ -31,6 +31,8 @@ VOCABULARY = "byte_bpe_50k"
 END_ID = 1
 #: the merge of one unbroken run is quadratic in the fast library; longer runs take the other
 LONG_RUN = 4000
+#: offsets of up to so many partitions (about 3 MB) are sent to every executor
+PARTS_SENT = 100_000
 
 
 @cache
@@ -98,6 +100,8 @@ def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY,
         base += r["n"]
     whole = base
     bounds = spark.createDataFrame(bases, "part int, first long, past long")
+    if len(bases) <= PARTS_SENT:
+        bounds = F.broadcast(bounds)  # else a join that shuffles
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
