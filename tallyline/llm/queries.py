@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import digest, format_conversations
+from .langid import identify_documents
 from .mixing import mix_documents
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .quality import judge
 from .sharding import shard_documents
 from .topk import top_k
 
@@ -43,10 +45,18 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents"))
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_table(spark, sf_dir, "documents"))
 
@@ -56,7 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack": op2_pack,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_top_k": op5_top_k,
+    "op7_quality": op7_quality,
     "op8_shard": op8_shard,
+    "op9_language": op9_language,
     "op10_mix": op10_mix,
 }
 
