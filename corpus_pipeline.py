@@ -1,21 +1,66 @@
-"""Documents to packed training sequences, in stages that each call one operator of tallyline.llm."""
+"""Documents to packed training sequences, in stages that each call one operator of tallyline.llm.
+
+1. language: the predicted language replaces ``lang``; documents without a letter go.
+2. near duplicates: of each group linked at 0.8 on five-word shingles one document stays.
+3. personal data: spans are replaced by their kind.
+4. mix: sources are repeated or thinned to their target weights.
+5. packing: the mix as one token stream, cut into sequences; one row per piece.
+
+All stages but the last keep the columns of the documents; ``n_chars`` follows the text.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyline.llm import langid, mixing, neardup, packing, pii
 from tallyline.llm.common import keep
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
+def _counted(docs: DataFrame) -> DataFrame:
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.set_language(docs, langid.learn(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.drop_near_duplicates(docs, size=5, percent=80)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(pii.redact(docs, pii.learn(docs)))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(mixing.mixed(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("near duplicates", near_duplicates),
+    ("personal data", personal_data),
+    ("mix", mix),
+    ("packing", pack),
+]
+
+#: language identification, the trees and the tokenizer have no SQL form
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each result is written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for _, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir))
     return docs

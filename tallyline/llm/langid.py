@@ -195,6 +195,14 @@ def identify(docs: DataFrame, model: Model | None, *carry: str) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
+def set_language(docs: DataFrame, model: Model | None) -> DataFrame:
+    """Documents with ``lang`` as predicted; those without a language go, other columns stay."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    told = identify(docs.select(row.alias("row"), "text"), model, "row").where(F.col("lang_pred") != UNKNOWN)
+    return told.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`")
+                         for c in docs.columns])
+
+
 def identify_documents(docs: DataFrame) -> DataFrame:
     named = docs.withColumn("held_out", held_out(F.col("doc_id")))
     return identify(named, learn(docs), "doc_id", "held_out")

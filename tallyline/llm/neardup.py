@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLOCK, blocks, forget, keep, mix64, shingle_hashes, span_hashes, word_bounds
@@ -90,21 +90,25 @@ def _node(items: np.ndarray) -> int:
     return int(mix64(np.array([two ^ np.uint64(len(items))]))[0].view(np.int64))
 
 
+def _mark() -> Column:
+    return F.xxhash64("text").alias("mark")
+
+
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """Set size, node and signature of every document."""
+    """Set size, node and signature of every document; ``mark`` is a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in blocks(batches, "text"):
             sets = shingle_sets(data, at, size)
             sig = signatures(sets)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                [rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_node(s) for s in sets], pa.int64()),
                  pa.array([x.tobytes() for x in sig], pa.binary())],
-                ["doc_id", "n_shingles", "node", "sig"])
+                ["doc_id", "mark", "n_shingles", "node", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, node long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", _mark()).mapInArrow(
+        run, "doc_id long, mark long, n_shingles long, node long, sig binary")
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
@@ -287,8 +291,8 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, size: int, percent: int)
     return first.unionAll(_confirm(rest, percent))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Every document's set size, component (its smallest doc_id) and whether it stays."""
+def _labelled(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Documents with their nodes; nodes with their component and its smallest doc_id."""
     drawn = keep(sketch(docs, size))
     nodes = keep(drawn.where("n_shingles > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc"), F.first("sig").alias("sig")))
@@ -296,11 +300,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     groups = keep(groups.join(nodes.select("node", "doc"), "node"))
     linked = components(confirmed_links(docs, groups, size, percent))
     least = linked.join(nodes.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("root"))
-    roots = keep(linked.join(least, "component").select("node", "root"))
-    named = (nodes.select("node", "doc").join(roots, "node", "left")
-             .select("node", F.coalesce("root", "doc").alias("found")))
+    roots = keep(linked.join(least, "component").select("node", "component", "root"))
+    named = (nodes.select("node", "doc").join(roots, "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component"), F.coalesce("root", "doc").alias("root")))
+    return drawn.drop("sig"), named
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Every document's set size, component (its smallest doc_id) and whether it stays."""
+    drawn, named = _labelled(docs, size, percent)
     empty = F.col("n_shingles") == 0
-    return (drawn.drop("sig").join(named, "node", "left")
-            .withColumn("component_id", F.when(empty, F.col("doc_id")).otherwise(F.col("found")))
+    return (drawn.join(named, "node", "left")
+            .withColumn("component_id", F.when(empty, F.col("doc_id")).otherwise(F.col("root")))
             .select("doc_id", "n_shingles", "component_id",
                     F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Documents, one of each component: its smallest doc_id, and of rows that share it one."""
+    drawn, named = _labelled(docs, size, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "mark")).alias("first")
+    stay = (drawn.where("n_shingles > 0").join(named, "node").groupBy("component").agg(first).select("first.*")
+            .unionByName(drawn.where("n_shingles = 0").select(
+                F.col("doc_id").isNull().alias("none"), "doc_id", "node", "mark"))
+            .select(_key("doc_id").alias("key"), "mark").distinct())
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                         _key("doc_id").alias("key"), _mark())
+    return (packed.join(stay, ["key", "mark"], "left_semi")
+            .withColumn("nth", F.row_number().over(Window.partitionBy("key", "mark").orderBy(F.lit(0))))
+            .where("nth = 1").select("row.*"))
+
+
+def _key(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))

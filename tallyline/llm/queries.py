@@ -12,6 +12,7 @@ from .langid import identify_documents
 from .mixing import mix_documents
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .pii import find_in_documents
 from .quality import judge
 from .sharding import shard_documents
 from .topk import top_k
@@ -45,6 +46,10 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_in_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack": op2_pack,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_top_k": op5_top_k,
+    "op6_pii": op6_pii,
     "op7_quality": op7_quality,
     "op8_shard": op8_shard,
     "op9_language": op9_language,
