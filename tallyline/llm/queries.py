@@ -14,6 +14,7 @@ from .neardup import near_duplicates
 from .packing import pack_documents
 from .pii import find_in_documents
 from .quality import judge
+from .repeats import remove_from_documents
 from .sharding import shard_documents
 from .topk import top_k
 
@@ -38,6 +39,10 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_from_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -69,6 +74,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_pack": op2_pack,
+    "op3_repeats": op3_repeats,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_top_k": op5_top_k,
     "op6_pii": op6_pii,
