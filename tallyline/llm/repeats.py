@@ -44,6 +44,8 @@ SPAN = LEAST - GRAM + 1
 WIDE = 1024
 #: text bytes of a block, text bytes a bucket stands for, bytes worked on at once
 BLOCK_TEXT, BUCKET_TEXT, PART = 4 << 20, 16 << 20, 1 << 20
+#: occurrences of repeats gone through at once
+OCCURRENCES = 1 << 20
 _ABOVE = np.iinfo(np.int64).max
 
 
@@ -68,6 +70,7 @@ class Block:
         self.ids = ids[order]
         self.null = np.array([not v.is_valid for v in table.column("doc_id")], bool)[order]
         self.at = np.concatenate([[0], np.cumsum(np.diff(at)[order])])
+        self.owner = np.repeat(np.arange(len(order), dtype=np.int32), np.diff(self.at))
         parts = [self._part(lo) for lo in range(0, max(len(self.data) - LEAST + 1, 0), PART)]
         gram, start, end, text = (np.concatenate(x) for x in zip(*parts)) if parts else (
             np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
@@ -88,26 +91,25 @@ class Block:
         data = self.data[lo:lo + PART + LEAST - 1]
         grams = gram_hashes(data)
         low = _lowest(grams, SPAN)
-        where = lo + np.arange(len(low))
-        text = np.searchsorted(self.at, where, "right") - 1
-        inside = where + LEAST <= self.at[text + 1]
+        text = self.owner[lo:lo + len(low)]
+        inside = text == self.owner[lo + LEAST - 1:lo + LEAST - 1 + len(low)]
         new = np.ones(len(low), bool)
         new[1:] = (low[1:] != low[:-1]) | (text[1:] != text[:-1])
         opens = np.flatnonzero(new)
         # a run longer than one gram allows (periodic text) is cut, by its own start
         size = np.diff(np.append(opens, len(low)))
-        nth = np.arange(len(low)) - np.repeat(opens, size)
-        new |= nth % SPAN == 0
+        for first, n in zip(*(x[size > SPAN].tolist() for x in (opens, size))):
+            new[first:first + n:SPAN] = True
         opens = np.flatnonzero(new & inside)
         # strings that cross into the next text come last in its run: a run ends before them
         past = np.append(np.flatnonzero(new | ~inside), len(low))
         shut = past[np.searchsorted(past, opens, "right")]
-        start, end = where[opens], where[shut - 1] + LEAST
+        start, end = lo + opens, lo + shut - 1 + LEAST
         if not hasattr(self, "marks"):
             self.marks = np.zeros(len(self.data), np.uint64)
         if len(opens):
             self.marks[start] = range_hashes(grams, opens, shut - 1 + LEAST, 2 * LEAST - GRAM)
-        return low[opens], start, end, text[opens]
+        return low[opens], start, end, text[opens].astype(np.int64)
 
     def buckets(self, hashes: np.ndarray, n: int) -> np.ndarray:
         return (mix64(hashes + np.uint64(9)) >> np.uint64(20)) % np.uint64(n)
@@ -224,13 +226,28 @@ def _places(n: int):
 
 
 def repeat_groups(docs: np.ndarray, sizes: np.ndarray, data: np.ndarray):
-    """Maximal repeats of places: (length, texts, positions in the texts, smallest doc)."""
+    """Maximal repeats of places, many at a time, as arrays: each occurrence's group, text and
+    position in the text, each group's length and smallest document."""
     ends = np.cumsum(sizes)
     starts = ends - sizes
     s = Suffixes(data, starts, ends, LEAST)
-    for length, lo, hi in maximal_repeats(s, LEAST):
-        text = s.text[lo:hi]
-        yield length, text, s.at[lo:hi] - starts[text], int(docs[text].min())
+    found = maximal_repeats(s, LEAST)
+    while True:
+        groups, n = [], 0
+        for g in found:
+            groups.append(g)
+            n += g[2] - g[1]
+            if n >= OCCURRENCES:
+                break
+        if not groups:
+            return
+        length, lo, hi = np.array(groups).T
+        size = hi - lo
+        opens = np.cumsum(size) - size
+        member = np.arange(n) - np.repeat(opens - lo, size)
+        text = s.text[member]
+        yield (np.repeat(np.arange(len(groups)), size), text, s.at[member] - starts[text], length,
+               np.minimum.reduceat(docs[text], opens))
 
 
 def _cover(table: pa.Table) -> pa.Table:
@@ -256,13 +273,14 @@ def _cover(table: pa.Table) -> pa.Table:
     size = sizes[one]
     at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[one], size)
     strings = np.zeros(len(one), np.uint64)
-    for length, text, place, least in repeat_groups(docs[one], size, data[at]):
-        above = docs[one][text] > least
-        run = np.uint64((1 << (length - LEAST + 1)) - 1)
+    lowest = docs[one]
+    for group, text, place, length, least in repeat_groups(lowest, size, data[at]):
+        above = lowest[text] > least[group]
+        run = (np.uint64(1) << (length[group[above]] - LEAST + 1).astype(np.uint64)) - np.uint64(1)
         np.bitwise_or.at(strings, text[above], run << place[above].astype(np.uint64))
     # a place above its like's smallest document is covered whole
     full = (np.uint64(1) << (sizes - LEAST + 1).astype(np.uint64)) - np.uint64(1)
-    covered = np.where(docs > docs[one][which], full, strings[which])
+    covered = np.where(docs > lowest[which], full, strings[which])
     out: list[list] = [[], [], []]
     cut = np.cumsum([len(r) for r in refs])
     for block, r, hi in zip(columns["block"], refs, cut):
@@ -299,12 +317,22 @@ def _remove(key: tuple, texts: pa.Table, covered: pa.Table) -> pa.Table:
         np.add.at(edge, some, 1)
         np.add.at(edge, some + LEAST, -1)
     gone = np.cumsum(edge[:-1]) > 0
+    # where removed bytes begin and end; a text's ends cut a run
+    before, after = gone.copy(), gone.copy()
+    before[1:] &= gone[:-1]
+    before[b.at[:-1][b.at[:-1] < len(gone)]] = False
+    after[:-1] &= gone[1:]
+    after[b.at[1:][b.at[1:] > 0] - 1] = False
+    opens, shuts = np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after) + 1
+    turns = np.stack([opens, shuts], axis=1).reshape(-1)
+    cuts = 2 * np.searchsorted(opens, b.at)
+    removed = np.concatenate([[0], np.cumsum(gone, dtype=np.int64)])
     rows = []
     for i, (lo, hi) in enumerate(zip(b.at[:-1].tolist(), b.at[1:].tolist())):
         mine = gone[lo:hi]
-        turn = np.flatnonzero(np.diff(mine, prepend=False, append=False)).reshape(-1, 2)
-        rows.append((None if b.null[i] else int(b.ids[i]), hi - lo, int(mine.sum()), len(turn),
-                     hashlib.sha256(b.data[lo:hi][~mine].tobytes()).hexdigest(),
+        turn = turns[cuts[i]:cuts[i + 1]].reshape(-1, 2) - lo
+        rows.append((None if b.null[i] else int(b.ids[i]), hi - lo, int(removed[hi] - removed[lo]), len(turn),
+                     hashlib.sha256((b.data[lo:hi][~mine] if len(turn) else b.data[lo:hi]).tobytes()).hexdigest(),
                      [{"start": x, "end": y} for x, y in turn.tolist()]))
     return _table(_RESULT, list(zip(*rows)))
 

@@ -19,7 +19,10 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     data = np.ascontiguousarray(data)
     low, high = (np.ndarray((n,), "<u8", data, at, (1,)) for at in (0, 8))
-    return mix64((low * _A) ^ mix64(high + _B))
+    high = high ^ (high >> np.uint64(29))
+    high *= _B
+    high += low * _A
+    return mix64(high)
 
 
 def range_hashes(grams: np.ndarray, starts: np.ndarray, ends: np.ndarray, longest: int) -> np.ndarray:
