@@ -55,6 +55,9 @@ def measures(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     letters = np.concatenate([[0], np.cumsum(_UPPER[data] | _LOWER[data] | (data >= 0x80), dtype=np.int64)])
     out["lettered"] = _per_text(letters[ends] > letters[starts], owner, n)
 
+    same = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
+    out["stutters"] = _per_text(same, owner[1:], n)
+
     # windows of words that stand twice or more in their text
     salt = mix64(np.arange(n, dtype=np.uint64) + np.uint64(5))
     windows = shingle_hashes(words, WINDOW)
@@ -106,10 +109,11 @@ RULES: dict[str, Rule] = {
     "length": lambda m: _between(m["n_words"], (50, np.inf), (10, np.inf)),
     "word length": lambda m: _between(_ratio(m["word_chars"], m["n_words"]), (3.5, 8), (2.5, 12)),
     "symbols": lambda m: _between(_ratio(m["n_symbols"], m["n_words"]), (0, 0.02), (0, 0.2)),
-    "letters": lambda m: _between(_ratio(m["upper"] + m["lower"] + m["wide"], m["word_chars"]), (0.9, 1), (0.75, 1)),
+    "letters": lambda m: _between(_ratio(m["upper"] + m["lower"] + m["wide"], m["word_chars"] - m["digits"]), (0.9, 1), (0.75, 1)),
     "words": lambda m: _between(_ratio(m["lettered"], m["n_words"]), (0.95, 1), (0.85, 1)),
     "capitals": lambda m: _between(_ratio(m["upper"], m["upper"] + m["lower"]), (0, 0.15), (0, 0.4)),
-    "digits": lambda m: _between(_ratio(m["digits"], m["word_chars"]), (0, 0.05), (0, 0.2)),
+    "digits": lambda m: _between(_ratio(m["digits"], m["word_chars"]), (0, 0.15), (0, 0.5)),
+    "stutter": lambda m: _between(_ratio(m["stutters"], m["n_words"]), (0, 0.03), (0, 0.2)),
     "shouting": lambda m: _between(_ratio(m["shouts"], m["n_words"]), (0, 0.03), (0, 0.3)),
     "repeated lines": lambda m: _between(_ratio(m["n_dup_lines"], m["n_lines"]), (0, 0.1), (0, 0.3)),
     "repeated words": lambda m: _between(_ratio(m["n_repeat_words"], m["n_words"]), (0, 0.05), (0, 0.15)),
@@ -154,9 +158,8 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[
         share /= share.sum(axis=2, keepdims=True)
         odds = np.log(share[0] / share[1])
         prior = float(np.log(((counts * good).sum() + 1) / ((counts * (1 - good)).sum() + 1)))
-        # an abstention says nothing; else the length of a text would decide through it
-        odds[:, ABSTAIN] = 0.0
-        # a rule may not turn its own vote around
+        # a rule may not turn its own vote around, and an abstention is a hint at most
+        odds[:, ABSTAIN] = np.clip(odds[:, ABSTAIN], -1, 1)
         odds[:, GOOD], odds[:, BAD] = np.maximum(odds[:, GOOD], 0), np.minimum(odds[:, BAD], 0)
         new = 1 / (1 + np.exp(-np.clip(prior + odds[np.arange(m), votes].sum(axis=1), -50, 50)))
         if np.abs(new - good).max(initial=0) < 1e-9:
