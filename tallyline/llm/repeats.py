@@ -43,9 +43,10 @@ SPAN = LEAST - GRAM + 1
 #: neighbourhoods of one gram that are dealt by the gram
 WIDE = 1024
 #: text bytes of a block, text bytes a bucket stands for, bytes worked on at once
-BLOCK_TEXT, BUCKET_TEXT, PART = 4 << 20, 16 << 20, 1 << 20
+BLOCK_TEXT, BUCKET_TEXT, PART = 4 << 20, 4 << 20, 1 << 20
 #: occurrences of repeats gone through at once
 OCCURRENCES = 1 << 20
+_CODEC = pa.Codec("zstd", compression_level=1)
 _ABOVE = np.iinfo(np.int64).max
 
 
@@ -72,9 +73,8 @@ class Block:
         self.at = np.concatenate([[0], np.cumsum(np.diff(at)[order])])
         self.owner = np.repeat(np.arange(len(order), dtype=np.int32), np.diff(self.at))
         parts = [self._part(lo) for lo in range(0, max(len(self.data) - LEAST + 1, 0), PART)]
-        gram, start, end, text = (np.concatenate(x) for x in zip(*parts)) if parts else (
-            np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
-        mark = self.marks[start] if len(start) else gram
+        gram, mark, start, end, text = (np.concatenate(x) for x in zip(*parts)) if parts else (
+            *[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, np.int64)] * 3)
         by = np.lexsort((self.ids[text], mark, gram))
         self.gram, self.start, self.end, self.text, mark = (x[by] for x in (gram, start, end, text, mark))
         first = np.ones(len(by), bool)
@@ -105,11 +105,8 @@ class Block:
         past = np.append(np.flatnonzero(new | ~inside), len(low))
         shut = past[np.searchsorted(past, opens, "right")]
         start, end = lo + opens, lo + shut - 1 + LEAST
-        if not hasattr(self, "marks"):
-            self.marks = np.zeros(len(self.data), np.uint64)
-        if len(opens):
-            self.marks[start] = range_hashes(grams, opens, shut - 1 + LEAST, 2 * LEAST - GRAM)
-        return low[opens], start, end, text[opens].astype(np.int64)
+        mark = range_hashes(grams, opens, shut - 1 + LEAST, 2 * LEAST - GRAM) if len(opens) else low[:0]
+        return low[opens], mark, start, end, text[opens].astype(np.int64)
 
     def buckets(self, hashes: np.ndarray, n: int) -> np.ndarray:
         return (mix64(hashes + np.uint64(9)) >> np.uint64(20)) % np.uint64(n)
@@ -132,6 +129,14 @@ _PLACES = "key long, block long, docs binary, refs binary, sizes binary, bytes b
 _COVERED = "block long, refs binary, strings binary"
 
 
+def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of the ranges, one after the other."""
+    opens = np.cumsum(sizes) - sizes
+    at = np.arange(sizes.sum(), dtype=np.int32)  # a block is far below 2 GB
+    at += np.repeat((starts - opens).astype(np.int32), sizes)
+    return data[at]
+
+
 def _table(schema: list[tuple[str, pa.DataType]], columns: list) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema)], [n for n, _ in schema])
 
@@ -178,9 +183,9 @@ def _pack_places(b: Block, block: int, keys: np.ndarray, docs: np.ndarray, refs:
     for lo, hi in zip(cuts, np.append(cuts[1:], len(order))):
         i = order[lo:hi]
         size = ends[i] - starts[i]
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[i], size)
         out.append([int(keys[i[0]]), block, docs[i].view(np.uint8).reshape(-1, 8).T.tobytes(),
-                    refs[i].astype("<u8").tobytes(), size.astype(np.uint8).tobytes(), b.data[at].tobytes()])
+                    refs[i].astype("<u8").tobytes(), size.astype(np.uint8).tobytes(),
+                    _CODEC.compress(_gather(b.data, starts[i], size).tobytes(), asbytes=True)])
     return out
 
 
@@ -208,7 +213,7 @@ def _places(n: int):
             at = start[ref] + place
             size = end[many] - start[many]
             opens = np.cumsum(size) - size
-            held = b.data[np.arange(size.sum()) - np.repeat(opens - start[many], size)]
+            held = _gather(b.data, start[many], size)
             inside = np.repeat(opens, count) + place
             head = range_hashes(gram_hashes(held), inside, inside + LEAST, LEAST)
             by = np.lexsort((b.doc[ref], head))
@@ -260,7 +265,9 @@ def _cover(table: pa.Table) -> pa.Table:
                                [np.ones(len(r), "<u8").tobytes() for r in refs]])
     docs = np.concatenate([np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view(np.int64)[:, 0] for x in columns["docs"]])
     sizes = np.concatenate([np.frombuffer(x, np.uint8) for x in columns["sizes"]]).astype(np.int64)
-    data = np.frombuffer(b"".join(columns["bytes"]), np.uint8)
+    raw = [_CODEC.decompress(x, int(np.frombuffer(n, np.uint8).sum(dtype=np.int64)), asbytes=True)
+           for x, n in zip(columns["bytes"], columns["sizes"])]
+    data = np.frombuffer(b"".join(raw), np.uint8)
     # equal places are one text of the array, with their smallest document
     ends = np.cumsum(sizes)
     starts = ends - sizes
@@ -271,10 +278,9 @@ def _cover(table: pa.Table) -> pa.Table:
     which[order] = np.cumsum(first) - 1
     one = order[first]
     size = sizes[one]
-    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[one], size)
     strings = np.zeros(len(one), np.uint64)
     lowest = docs[one]
-    for group, text, place, length, least in repeat_groups(lowest, size, data[at]):
+    for group, text, place, length, least in repeat_groups(lowest, size, _gather(data, starts[one], size)):
         above = lowest[text] > least[group]
         run = (np.uint64(1) << (length[group[above]] - LEAST + 1).astype(np.uint64)) - np.uint64(1)
         np.bitwise_or.at(strings, text[above], run << place[above].astype(np.uint64))
