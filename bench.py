@@ -15,7 +15,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = ["obs_scan", "counts_rollup", "stock_by_location", "push_batches", "time_per_item",
             "merge_upsert", "corr_latest", "correction_rate", "latency_alert", "num_words",
-            "corrections_inline", "commands", "resolve_exact", "resolve_fuzzy", "session_replay",
+            "corrections_inline", "commands", "resolve_exact", "resolve_fuzzy",
             "vad_segments"]
 
 

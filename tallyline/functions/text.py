@@ -57,10 +57,6 @@ def is_code(c) -> Column:
     return col(c).rlike("^(?=.*[a-z])(?=.*[0-9])[a-z0-9-]{1,10}$")
 
 
-def is_letter(c) -> Column:
-    return col(c).rlike("^[a-z]$")
-
-
 def code_display(c) -> Column:
     """Upper-case a code, with a dash at its first letter-digit boundary."""
     up = F.upper(col(c))
@@ -72,9 +68,10 @@ def code_display(c) -> Column:
 def is_number(c) -> Column:
     """A word ``parse_digits`` has a value for."""
     c = col(c)
-    return (F.length(c) < 309) & c.rlike(
+    # the pattern first: most words fail it cheaply
+    return c.rlike(
         r"^(?:[0-9]+\.?[0-9]*|\.[0-9]+|[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+,[0-9]*|,[0-9]+)$"
-    )
+    ) & parse_digits(c).isNotNull()
 
 
 def parse_digits(c) -> Column:
@@ -90,20 +87,32 @@ def parse_digits(c) -> Column:
 
 
 def format_quantity(c) -> Column:
-    """Minimal decimal form without exponent; null becomes the empty string."""
+    """Minimal decimal form without exponent, over all doubles; null becomes the empty string."""
     c = col(c)
-    # whole numbers in the exactly representable range take the short way
-    whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
+    shown = c.cast("double").cast("string")
+    parts = r"^(-?)([0-9]+)\.([0-9]+)E(-?[0-9]+)$"
+
+    def part(i: int) -> Column:
+        return F.regexp_extract(shown, parts, i)
+
+    # with an exponent: the digits, moved by it
+    digits = F.concat(part(2), F.regexp_replace(part(3), "^0$", ""))
+    shift = part(4).try_cast("int")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -shift - 1), digits)
+    whole = F.rpad(digits, shift + 1, F.lit("0"))
+    split = F.concat(F.substring(digits, F.lit(1), shift + 1), F.lit("."), F.substring(digits, shift + 2, F.length(digits)))
+    moved = F.when(shift < 0, small).when(F.length(digits) <= shift + 1, whole).otherwise(split)
     return F.coalesce(
-        F.when(whole, c.cast("bigint").cast("string"))
-        .when(F.abs(c) >= 1e15, c.cast("decimal(38,0)").cast("string"))
-        .otherwise(F.regexp_replace(c.cast("decimal(38,20)").cast("string"), r"\.?0+$", "")),
+        F.when(shown.rlike(parts), F.concat(part(1), moved))
+        .otherwise(F.regexp_replace(shown, r"\.0$", "")),
         F.lit(""),
     )
 
 
 def clamp01(c) -> Column:
-    return F.least(F.greatest(col(c), F.lit(0.0)), F.lit(1.0))
+    """Into 0 to 1; a value that is not a number stays one, for the record checks to refuse."""
+    c = col(c)
+    return F.when(F.isnan(c), c).otherwise(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)))
 
 
 def all_in(tokens: Column, words) -> Column:

@@ -147,8 +147,6 @@ ENGLISH = Language(
 # ---------------------------------------------------------------------------
 # Spanish vocabulary.
 
-_HUNDRED_STEMS = words("dosc tresc cuatroc quin seisc setec ochoc novec")
-
 SPANISH = Language(
     code="es",
     nouns=words(
@@ -174,11 +172,11 @@ SPANISH = Language(
     tens=numbered(
         "veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa", 20, 10
     ),
-    # the eight direct hundreds, masculine and feminine
     hundreds={
-        stem + "ient" + gender: 100.0 * (k + 2)
-        for k, stem in enumerate(_HUNDRED_STEMS)
-        for gender in ("os", "as")
+        "doscientos": 200.0, "doscientas": 200.0, "trescientos": 300.0, "trescientas": 300.0,
+        "cuatrocientos": 400.0, "cuatrocientas": 400.0, "quinientos": 500.0, "quinientas": 500.0,
+        "seiscientos": 600.0, "seiscientas": 600.0, "setecientos": 700.0, "setecientas": 700.0,
+        "ochocientos": 800.0, "ochocientas": 800.0, "novecientos": 900.0, "novecientas": 900.0,
     },
     hundred=words("cien ciento"),
     big={"mil": 1e3, "millon": 1e6, "millones": 1e6},
@@ -292,14 +290,15 @@ def match_phrases(df: DataFrame, lexicon: DataFrame, key: str, tokens: str = "to
                   lang: str = "lang") -> DataFrame:
     """Longest vocabulary phrase of every class at each token: ``(key, pos, class, n_tokens)``.
 
-    Runs of up to three tokens join the vocabulary on language and text; the
-    vocabulary is a small fixed table, so the join needs no shuffle.
+    Runs of as many tokens as the longest phrase join the vocabulary on language
+    and text.
     """
     words_at = F.col(tokens)
+    longest = lexicon.agg(F.max("n_tokens")).first()[0] or 1
     grams = df.select(
         key, lang,
         F.explode(F.flatten(F.transform(words_at, lambda t, i: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(3), F.size(words_at) - i)),
+            F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words_at) - i)),
             lambda n: F.struct(i.alias("pos"), F.array_join(F.transform(
                 F.slice(words_at, i + 1, n), lambda w: w["fold"]), " ").alias("phrase")),
         )))).alias("g")).select(key, F.col(lang).alias("_lang"), "g.pos", "g.phrase")

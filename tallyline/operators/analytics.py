@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.operators.ordered import id_chunk, lagged, last_n, trailing, upper_median
+from tallyline.operators.ordered import id_rank, lagged, last_n, trailing, upper_median
 
 
 def counts_by_status(df: DataFrame) -> DataFrame:
@@ -46,10 +46,24 @@ def correction_rates(log: DataFrame, records: DataFrame) -> DataFrame:
     who = records.select(F.col("id").alias("observation_id"), "operator_id")
     captured = records.cube("operator_id").agg(F.count("*").alias("captured")).select(
         F.col("operator_id").alias("_op"), "captured")
-    fixes = log.join(who, "observation_id").groupBy("operator_id", "field", "observation_id").agg(
-        F.count("*").alias("n")).cube("operator_id", "field").agg(
-        F.sum("n").alias("corrections"),
-        F.countDistinct("observation_id").alias("records"))
+    # a record has one operator: after one row per record and field, all but the
+    # totals over fields are plain sums, and those need one row per record
+    each = log.join(who, "observation_id").groupBy("operator_id", "observation_id", "field").agg(
+        F.count("*").alias("corrections"))
+    by_field = each.groupBy("operator_id", "field").agg(
+        F.sum("corrections").alias("corrections"), F.count("*").alias("records"))
+    by_operator = each.groupBy("operator_id", "observation_id").agg(
+        F.sum("corrections").alias("corrections")).groupBy("operator_id").agg(
+        F.sum("corrections").alias("corrections"), F.count("*").alias("records"))
+    sums = [F.sum("corrections").alias("corrections"), F.sum("records").alias("records")]
+    none = F.lit(None).cast("string")
+    shape = ["operator_id", "field", "corrections", "records"]
+    fixes = by_field.select(shape)
+    for part in (by_field.groupBy("field").agg(*sums).withColumn("operator_id", none),
+                 by_operator.withColumn("field", none),
+                 by_operator.agg(*sums).where("records > 0").withColumns(
+                     {"operator_id": none, "field": none})):
+        fixes = fixes.unionAll(part.select(shape))
     return fixes.join(captured, F.col("operator_id").eqNullSafe(F.col("_op"))).select(
         "operator_id", "field", "corrections", "records",
         (F.col("records") / F.col("captured")).alias("rate"))
@@ -74,20 +88,19 @@ def latency_stats(df: DataFrame, key: str, order: str, latency: str) -> DataFram
         upper_median(F.array_sort("_last")).alias("median_latency"))
 
 
-def latency_alerts(df: DataFrame, key: str, order: str, latency: str, target: Column,
-                   chunk: Column) -> DataFrame:
+def latency_alerts(df: DataFrame, key: str, order: str, latency: str, target: Column) -> DataFrame:
     """First capture at which the median of the last 50 passes the target.
 
     At least three latencies are needed; every device alerts once.
     """
-    rolled = trailing(df, [key], order, latency, 50, chunk, "_last")
+    rolled = trailing(df, [key], order, latency, 50, F.col(order), "_last")
     breach = rolled.where((F.size("_last") >= 3) & (upper_median(F.col("_last")) > target))
     return breach.groupBy(key).agg(F.min(order).alias("first_alert"))
 
 
 def time_per_item(df: DataFrame) -> DataFrame:
     """Seconds since the device's previous capture."""
-    out = lagged(df, ["device_id"], "id", "captured_at", id_chunk(), "previous_at")
+    out = lagged(df, ["device_id"], "id", "captured_at", id_rank(), "previous_at")
     return out.withColumn("gap_seconds", (
         F.unix_micros("captured_at") - F.unix_micros("previous_at")) / 1e6)
 
@@ -95,8 +108,6 @@ def time_per_item(df: DataFrame) -> DataFrame:
 def push_report(df: DataFrame, accepted: DataFrame, refused: DataFrame, voids: DataFrame,
                 size: int = 50) -> DataFrame:
     """Pushed, batches, rejected and voided per device."""
-    queue = df.where("status = 'confirmed'").groupBy("device_id").agg(
-        F.count("*").alias("queued"))
     flags = (
         df.select("id", "device_id", "status")
         .join(accepted.select("id").distinct().withColumn("_a", F.lit(1)), "id", "left")
@@ -104,11 +115,11 @@ def push_report(df: DataFrame, accepted: DataFrame, refused: DataFrame, voids: D
         .join(voids.select("id").distinct().withColumn("_v", F.lit(1)), "id", "left")
     )
     counts = flags.groupBy("device_id").agg(
+        F.count(F.when(F.col("status") == "confirmed", 1)).alias("queued"),
         F.count(F.when((F.col("status") == "confirmed") & F.col("_a").isNotNull(), 1)).alias("pushed"),
         F.count("_r").alias("rejected"), F.count("_v").alias("voided"))
-    return counts.join(queue, "device_id", "left").select(
-        "device_id", "pushed",
-        F.coalesce(F.ceil(F.col("queued") / size), F.lit(0)).cast("bigint").alias("batches"),
+    return counts.select(
+        "device_id", "pushed", F.ceil(F.col("queued") / size).cast("bigint").alias("batches"),
         "rejected", "voided")
 
 

@@ -176,12 +176,17 @@ def segment_step(rate: int, cfg: dict):
 SEGMENT = "struct<start_sample:bigint,end_sample:bigint,truncated:boolean>"
 
 
+def frame_tails(clips: DataFrame, rate: int = RATE) -> DataFrame:
+    """Samples behind the last whole frame of each clip, ``(clip_id, tail_samples)``."""
+    return clips.select("clip_id", (F.size("pcm") % (rate * FRAME_MS // 1000)).alias("tail_samples"))
+
+
 def vad_segments(frames: DataFrame, rate: int = RATE, cfg: dict | None = None,
-                 flush: bool = True) -> DataFrame:
+                 flush: bool = True, tails: DataFrame | None = None) -> DataFrame:
     """Speech segments ``(clip_id, utt_no, start_sample, end_sample, truncated)``.
 
-    One fold per clip over its ordered frames. A clip is a bounded recording;
-    endless streams go through the stateful form in ``streaming``.
+    One fold per clip over its ordered frames; a clip is a bounded recording.
+    The samples of ``tails`` end an utterance that is open at the end.
     """
     cfg = {**VAD, **(cfg or {})}
     size = rate * FRAME_MS // 1000
@@ -195,7 +200,7 @@ def vad_segments(frames: DataFrame, rate: int = RATE, cfg: dict | None = None,
     def finish(s: Column) -> Column:
         open_end = F.array(F.struct(
             (s["at"] - s["utter"]).alias("start_sample"),
-            (s["at"] - s["utter"] + _trimmed(s, s["utter"], s["silence"], size, keep)).cast(
+            (s["at"] - s["utter"] + _trimmed(s, s["utter"] + F.col("tail_samples"), s["silence"], size, keep)).cast(
                 "long").alias("end_sample"),
             F.lit(False).alias("truncated")))
         return F.when(F.lit(flush) & s["speaking"] & (s["utter"] > 0),
@@ -203,6 +208,10 @@ def vad_segments(frames: DataFrame, rate: int = RATE, cfg: dict | None = None,
 
     ordered = frames.groupBy("clip_id").agg(F.array_sort(F.collect_list(
         F.struct("frame_no", "rms", "zcr"))).alias("f"))
+    if tails is None:
+        ordered = ordered.withColumn("tail_samples", F.lit(0))
+    else:
+        ordered = ordered.join(tails, "clip_id", "left").fillna(0, ["tail_samples"])
     found = F.aggregate("f", start, segment_step(rate, cfg), finish)
     return ordered.select("clip_id", F.posexplode(found).alias("utt_no", "s")).select(
         "clip_id", "utt_no", "s.*")

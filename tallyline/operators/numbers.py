@@ -77,6 +77,14 @@ def _phrases(entries, n: int) -> list[str]:
     return [p for p in entries if len(p.split()) == n]
 
 
+def _known_lengths(t: Language) -> None:
+    """The class codes hold phrases up to these lengths; a longer one must not be lost."""
+    for name, entries, longest in (("negation", t.negation, 2), ("vague", t.vague, 2), ("approx", t.approx, 3)):
+        long = [p for p in entries if len(p.split()) > longest]
+        if long:
+            raise ValueError(f"{t.code}: {name} phrases of more than {longest} words: {long}")
+
+
 def with_classes(df: DataFrame, lang: str = "lang", extra_units: list[str] | None = None,
                  unit_words: str | None = None) -> DataFrame:
     """Add ``_code``, the seven-character class code of every token, and ``_raw``.
@@ -108,6 +116,7 @@ def with_classes(df: DataFrame, lang: str = "lang", extra_units: list[str] | Non
         df = df.withColumn("_code", F.transform("_code", extra))
 
     def phrase(t: Language):
+        _known_lengths(t)
         two_neg = _phrases(t.negation, 2)
         approx3, approx2 = _phrases(t.approx, 3), _phrases(t.approx, 2)
 

@@ -1,9 +1,10 @@
 """Ordered per-key computations that survive a key holding most of the rows.
 
 A plain ``row_number`` over a device sorts all rows of that device in one task.
-Here the rows of a key are cut into chunks along the order (ids are
-time-ordered, so an id prefix is a time slice); only chunk totals are
-accumulated per key, and every window runs inside one chunk.
+Here the rows of a key are cut into chunks along the order, at boundaries taken
+from the data: approximate quantiles per key, so that a chunk holds about
+``CHUNK_ROWS`` rows. Only chunk totals are accumulated per key, and every
+window runs inside one chunk. A key of up to ``CHUNK_ROWS`` rows is one chunk.
 """
 
 from __future__ import annotations
@@ -11,21 +12,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# leading characters of a time-ordered id: 8 hex digits are slices of 65 s
-ID_CHUNK = 8
+CHUNK_ROWS = 100_000
+#: quantiles computed per key; a larger key has larger chunks
+_QUANTILES = 1024
 
 
-def id_chunk(id_col: str = "id", width: int = ID_CHUNK) -> Column:
-    return F.left(F.col(id_col), F.lit(width))
+def id_rank(id_col: str = "id") -> Column:
+    """Number of the leading 15 hex digits of a time-ordered id: time first."""
+    return F.conv(F.left(F.replace(F.col(id_col), F.lit("-"), F.lit("")), F.lit(15)), 16, 10).cast("bigint")
 
 
-def numbered(df: DataFrame, keys: list[str], order: str, chunk: Column,
-             out: str = "rn") -> DataFrame:
+def chunked(df: DataFrame, keys: list[str], rank: Column, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add ``_chunk``; ``rank`` is a number monotone in the order of the rows."""
+    df = df.withColumn("_rank", rank)
+    cuts = F.array(*[F.lit(i / _QUANTILES) for i in range(1, _QUANTILES)])
+    bounds = df.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.percentile_approx("_rank", cuts, 10_000).alias("_cuts"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(_QUANTILES) * rows / F.col("_n")).cast("int"))
+    # every step-th quantile; none for a key that is one chunk
+    chosen = F.array_distinct(F.filter("_cuts", lambda x, i: (i + 1) % step == 0))
+    bounds = bounds.where(F.col("_n") > rows).select(
+        *[F.col(k).alias(f"_b_{k}") for k in keys], chosen.alias("_cuts"))
+    same = [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys]
+    rank_at = F.coalesce(F.size(F.filter("_cuts", lambda x: x < F.col("_rank"))), F.lit(0))
+    return (df.join(bounds, same, "left")
+            .withColumn("_chunk", F.when(F.col("_cuts").isNull(), 0).otherwise(rank_at))
+            .drop("_rank", "_cuts", *[f"_b_{k}" for k in keys]))
+
+
+def numbered(df: DataFrame, keys: list[str], order: str, rank: Column,
+             out: str = "rn", rows: int = CHUNK_ROWS) -> DataFrame:
     """Add the 1-based position of a row within its key.
 
-    ``chunk`` must be monotone in ``order``.
+    ``rank`` is a number monotone in ``order``.
     """
-    df = df.withColumn("_chunk", chunk)
+    df = chunked(df, keys, rank, rows)
     totals = df.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(
         Window.unboundedPreceding, -1)
@@ -40,10 +61,10 @@ def numbered(df: DataFrame, keys: list[str], order: str, chunk: Column,
     )
 
 
-def lagged(df: DataFrame, keys: list[str], order: str, value: str, chunk: Column,
-           out: str) -> DataFrame:
+def lagged(df: DataFrame, keys: list[str], order: str, value: str, rank: Column,
+           out: str, rows: int = CHUNK_ROWS) -> DataFrame:
     """Add the value of the previous row within the key."""
-    df = df.withColumn("_chunk", chunk)
+    df = chunked(df, keys, rank, rows)
     tails = df.groupBy(*keys, "_chunk").agg(F.max_by(value, order).alias("_tail"))
     before = Window.partitionBy(*keys).orderBy("_chunk")
     heads = tails.select(*keys, "_chunk", F.lag("_tail").over(before).alias("_prev"))
@@ -56,14 +77,14 @@ def lagged(df: DataFrame, keys: list[str], order: str, value: str, chunk: Column
     )
 
 
-def trailing(df: DataFrame, keys: list[str], order: str, value: str, size: int, chunk: Column,
-             out: str, bucket: int = 10_000) -> DataFrame:
+def trailing(df: DataFrame, keys: list[str], order: str, value: str, size: int, rank: Column,
+             out: str, bucket: int = 10_000, rows: int = CHUNK_ROWS) -> DataFrame:
     """Add the sorted values of the last ``size`` rows up to each row.
 
     Rows are numbered, cut into buckets of ``bucket`` rows, and the last
     ``size - 1`` rows of a bucket also travel with the next one.
     """
-    n = numbered(df, keys, order, chunk, "_pos")
+    n = numbered(df, keys, order, rank, "_pos", rows)
     home = F.floor((F.col("_pos") - 1) / bucket)
     tail = (F.col("_pos") - 1) % bucket >= bucket - (size - 1)
     spread = n.withColumn("_home", home).withColumn("_bucket", F.explode(F.when(

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions.text import format_quantity, rfc3339_seconds
-from tallyline.operators.ordered import id_chunk, numbered
+from tallyline.operators.ordered import id_rank, numbered
 
 STATUSES = ("draft", "confirmed", "synced", "rejected")
 # The legal moves of a record.
@@ -40,8 +40,11 @@ def list_records(df: DataFrame, status: str | None = None, needs_review: bool |
     return df.limit(limit) if limit else df
 
 
-def get_record(df: DataFrame, record_id: str) -> DataFrame:
-    return df.where(F.col("id") == record_id)
+def get_records(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row per wanted id, with ``found`` and, if it exists, the record."""
+    ids = wanted.select(F.col("id").alias("_want")).distinct()
+    return ids.join(df, F.col("_want") == F.col("id"), "left").withColumn(
+        "found", F.col("id").isNotNull()).withColumn("id", F.col("_want")).drop("_want")
 
 
 def unsynced(df: DataFrame, after: str = "", limit: int = 50) -> DataFrame:
@@ -52,7 +55,7 @@ def unsynced(df: DataFrame, after: str = "", limit: int = 50) -> DataFrame:
 def push_batches(df: DataFrame, size: int = 50) -> DataFrame:
     """Batch number of every queued record, oldest first per device."""
     queue = df.where("status = 'confirmed'")
-    return numbered(queue, ["device_id"], "id", id_chunk(), "position").withColumn(
+    return numbered(queue, ["device_id"], "id", id_rank(), "position").withColumn(
         "batch_no", F.floor((F.col("position") - 1) / size).cast("bigint"))
 
 
@@ -72,7 +75,22 @@ def clear_audio(df: DataFrame, purged: DataFrame) -> DataFrame:
 
 # --- validation and lifecycle ----------------------------------------------
 
-_UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+_HEX = "[0-9a-fA-F]"
+_DASHED = f"{_HEX}{{8}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{12}}"
+# plain, as a URN, in braces, or without dashes
+_UUID = f"^(?:{_DASHED}|(?i:urn:uuid:){_DASHED}|\\{{{_DASHED}\\}}|{_HEX}{{32}})$"
+
+# The messages of the record checks, in the order of the checks.
+INVALID = {
+    "id": "invalid id",
+    "captured_at": "captured_at is zero",
+    "status": "invalid status",
+    "language": "language is empty",
+    "schema_version": "schema_version must be positive",
+    "infinite": "quantity is not a finite number",
+    "negative": "quantity is negative",
+    "confidence": "confidence.{} out of range",
+}
 
 
 def invalid_reason(quantity="parsed.quantity", confidence="confidence") -> Column:
@@ -81,18 +99,18 @@ def invalid_reason(quantity="parsed.quantity", confidence="confidence") -> Colum
 
     def out_of_range(name: str) -> Column:
         c = F.col(f"{confidence}.{name}")
-        return F.when((c < 0) | (c > 1) | F.isnan(c), f"confidence.{name} out of range")
+        return F.when((c < 0) | (c > 1) | F.isnan(c), INVALID["confidence"].format(name))
 
     infinite = F.isnan(q) | (F.abs(q) == float("inf"))
     return F.coalesce(
-        F.when(~F.coalesce(F.col("id").rlike(_UUID), F.lit(False)), "invalid id"),
-        F.when(F.col("captured_at").isNull(), "captured_at is zero"),
-        F.when(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "invalid status"),
-        F.when(F.coalesce(F.col("language"), F.lit("")) == "", "language is empty"),
+        F.when(~F.coalesce(F.col("id").rlike(_UUID), F.lit(False)), INVALID["id"]),
+        F.when(F.col("captured_at").isNull(), INVALID["captured_at"]),
+        F.when(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), INVALID["status"]),
+        F.when(F.coalesce(F.col("language"), F.lit("")) == "", INVALID["language"]),
         F.when(F.coalesce(F.col("schema_version"), F.lit(0)) <= 0,
-               "schema_version must be positive"),
-        F.when(infinite, "quantity is not a finite number"),
-        F.when(q < 0, "quantity is negative"),
+               INVALID["schema_version"]),
+        F.when(infinite, INVALID["infinite"]),
+        F.when(q < 0, INVALID["negative"]),
         *[out_of_range(n) for n in ("asr", "quantity", "location", "item")],
     )
 
@@ -118,14 +136,6 @@ def apply_moves(df: DataFrame, moves: DataFrame) -> DataFrame:
         .otherwise(F.col("status")))
 
 
-def edit_outcome(edits: DataFrame, df: DataFrame) -> DataFrame:
-    """Whether each edit hits a mutable record: applied, immutable or not_found."""
-    return edits.join(df.select("id", "status"), "id", "left").withColumn(
-        "outcome",
-        F.when(F.col("status").isNull(), "not_found")
-        .when(F.col("status").isin("draft", "confirmed"), "applied").otherwise("immutable"))
-
-
 # --- sync ------------------------------------------------------------------
 
 
@@ -169,18 +179,21 @@ def dedupe(df: DataFrame, key: str, position: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(position).alias(position))
 
 
-def upsert(base: DataFrame, batch: DataFrame, version: str, key: str = "id",
+def upsert(base: DataFrame, batch: DataFrame, arrival: str, key: str = "id",
            owner: str = "device_id") -> DataFrame:
-    """Idempotent merge: the highest version of a key wins.
+    """Idempotent merge: of a key's rows the last to arrive wins.
 
-    A record belongs to the device that first uploaded it; rows of another
-    device never replace it.
+    A record belongs to its device in the base, or else to the device whose row
+    arrived first; rows of another device never replace it. ``arrival`` orders
+    the rows of the batch (a number without ties, such as batch and position);
+    rows of the base came before all of them.
     """
-    both = base.unionByName(batch)
+    both = base.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
     row = F.struct(*[F.col(c) for c in base.columns])
+    came = F.struct("_new", F.col(arrival).alias("_at"))
     # partial aggregation per owner first, so a much re-sent record stays small
     per_owner = both.groupBy(key, owner).agg(
-        F.max_by(row, F.col(version)).alias("_row"), F.min(version).alias("_first"))
+        F.max_by(row, came).alias("_row"), F.min(came).alias("_first"))
     best = per_owner.groupBy(key).agg(F.min_by("_row", F.struct("_first", owner)).alias("_row"))
     return best.select("_row.*")
 
@@ -195,9 +208,9 @@ def apply_voids(df: DataFrame, voids: DataFrame) -> DataFrame:
 
 def number_corrections(log: DataFrame) -> DataFrame:
     """Sequence number of each correction within its record."""
-    ordered = log.withColumn("_ord", F.struct("at", "pos"))
-    return numbered(ordered, ["observation_id"], "_ord", F.date_trunc("hour", "at"), "seq").drop(
-        "_ord")
+    # a record's log is bounded by what a person edits
+    order = Window.partitionBy("observation_id").orderBy("at", "pos")
+    return log.withColumn("seq", F.row_number().over(order).cast("bigint"))
 
 
 def attach_corrections(df: DataFrame, log: DataFrame) -> DataFrame:
@@ -210,9 +223,9 @@ def attach_corrections(df: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def latest_corrections(log: DataFrame) -> DataFrame:
-    """Last value of every corrected field."""
+    """Last value of every corrected field, by time and position in the log."""
     return log.groupBy("observation_id", "field").agg(
-        F.max_by("to_value", "seq").alias("to_value"), F.max("seq").alias("seq"))
+        F.max_by("to_value", F.struct("at", "pos")).alias("to_value"))
 
 
 # --- export ----------------------------------------------------------------
@@ -234,13 +247,25 @@ def csv_rows(df: DataFrame) -> DataFrame:
     return df.select(*[F.coalesce(source(n), F.lit("")).alias(n) for n in CSV_COLUMNS])
 
 
+# The messages of the claim checks, in the order of the checks.
+CLAIMS = ("unexpected protocol", "token expired", "claims do not match payload",
+          "payload does not match the digest")
+
+
 def claims_problem(now: Column, protocol: str) -> Column:
-    """First broken rule of a signed message's claims; null when they hold."""
+    """First broken rule of a signed message's claims; null when they hold.
+
+    What is missing does not match; only an expiry may be absent.
+    """
     c = F.col("claims")
+
+    def differs(a: Column, b: Column) -> Column:
+        return a.isNull() | b.isNull() | ~a.eqNullSafe(b)
+
     return F.coalesce(
-        F.when(F.col("protocol") != protocol, "unexpected protocol"),
-        F.when(now > c["expires_at"], "token expired"),
-        F.when((c["id"] != F.col("id")) | (c["device_id"] != F.col("device_id"))
-               | (c["operator_id"] != F.col("operator_id")), "claims do not match payload"),
-        F.when(c["sha256"] != F.sha2("payload", 256), "payload does not match the digest"),
+        F.when(differs(F.col("protocol"), F.lit(protocol)), CLAIMS[0]),
+        F.when(now > c["expires_at"], CLAIMS[1]),
+        F.when(differs(c["id"], F.col("id")) | differs(c["device_id"], F.col("device_id"))
+               | differs(c["operator_id"], F.col("operator_id")), CLAIMS[2]),
+        F.when(differs(c["sha256"], F.sha2("payload", 256)), CLAIMS[3]),
     )

@@ -21,11 +21,11 @@ from tallyline.operators import review as rv
 from tallyline.operators.resolve import match_texts, reference_keys, resolve, resolve_parse
 from tallyline.operators.tokens import tokenize as tokenize_text
 from tallyline.plans.corpus import (
-    LOG_SQL, OBS_SQL, PARTS_SQL, UTT_SQL, correction_log, location_dimension, observations,
-    part_dimension, table, utterances,
+    LOG_SQL, OBS_SQL, PARTS_SQL, UTT_SQL, correction_log, dealt, location_dimension, observations,
+    orders_with_parts, part_dimension, table, utterances,
 )
 from tallyline.session import cut_lineage
-from tallyline.streaming import ingest, replay
+from tallyline.streaming import ingest
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -79,11 +79,14 @@ def list_page(spark, d):
     return rec.list_records(observations(spark, d), limit=25, offset=50).select("id")
 
 
-@query("""SELECT id, status, item_text FROM obs WHERE id = (SELECT max(id) FROM obs)""", obs=True)
+@query("""SELECT id, true AS found, status, item_text FROM obs WHERE id = (SELECT max(id) FROM obs)
+  UNION ALL SELECT max(id) || 'x', false, NULL, NULL FROM obs""", obs=True)
 def obs_get(spark, d):
     df = observations(spark, d)
     newest = df.agg(F.max("id").alias("id"))
-    return df.join(newest, "id", "left_semi").select("id", "status", "parsed.item_text")
+    # of two wanted ids one is not there: its row is found without a record
+    wanted = newest.unionAll(newest.select(F.concat("id", F.lit("x"))))
+    return rec.get_records(df, wanted).select("id", "found", "status", "parsed.item_text")
 
 
 @query("""SELECT id FROM obs WHERE status = 'confirmed' AND id > '00c0' ORDER BY id LIMIT 50""",
@@ -204,15 +207,25 @@ def dedupe_ids(spark, d):
 
 
 @query("""SELECT id, device_id, CASE WHEN k % 3 = 0 AND k % 7 <> 0 THEN 'synced' ELSE status END AS status,
-  CASE WHEN k % 3 = 0 AND k % 7 <> 0 THEN 2 ELSE 1 END::BIGINT AS version FROM obs""", obs=True)
+  CASE WHEN k % 3 = 0 AND k % 7 <> 0 THEN 3 ELSE 1 END::BIGINT AS arrival FROM obs
+  UNION ALL SELECT id || 'n', 'first', 'draft', 1::BIGINT FROM obs WHERE k % 50 = 0""", obs=True)
 def merge_upsert(spark, d):
-    cols = ["id", "device_id", "status", "version"]
-    base = observations(spark, d).withColumn("version", F.lit(1).cast("bigint"))
-    again = base.where("k % 3 = 0").withColumns({
-        "status": F.lit("synced"), "version": F.lit(2).cast("bigint"),
-        # another device may not overwrite a record
-        "device_id": F.when(F.col("k") % 7 == 0, "intruder").otherwise(F.col("device_id"))})
-    return rec.upsert(base.select(*cols), again.select(*cols), "version")
+    cols = ["id", "device_id", "status", "arrival"]
+    base = observations(spark, d).withColumn("arrival", F.lit(1).cast("bigint"))
+
+    def sent(rows, device, status, arrival):
+        return rows.withColumns({"device_id": device, "status": F.lit(status),
+                                 "arrival": F.lit(arrival).cast("bigint")}).select(*cols)
+
+    own = F.when(F.col("k") % 7 == 0, "intruder").otherwise(F.col("device_id"))
+    again = base.where("k % 3 = 0")
+    new = base.where("k % 50 = 0").withColumn("id", F.concat("id", F.lit("n")))
+    # another device may not overwrite a record, however early or late its row arrives;
+    # a new record belongs to the device whose row came first
+    batch = (sent(again, own, "draft", 2).unionAll(sent(again, own, "synced", 3))
+             .unionAll(sent(base.where("k % 4 = 0"), F.lit("intruder"), "rejected", 0))
+             .unionAll(sent(new, F.lit("second"), "synced", 2)).unionAll(sent(new, F.lit("first"), "draft", 1)))
+    return rec.upsert(base.select(*cols), batch, "arrival")
 
 
 @query("""SELECT observation_id, field, to_value, row_number() OVER (PARTITION BY observation_id
@@ -237,8 +250,7 @@ def corr_attach(spark, d):
   PARTITION BY observation_id, field ORDER BY log."at" DESC, log.pos DESC) AS rn FROM log) WHERE rn = 1""",
        log=True)
 def corr_latest(spark, d):
-    log = rec.number_corrections(correction_log(spark, d))
-    return rec.latest_corrections(log).select("observation_id", "field", "to_value")
+    return rec.latest_corrections(correction_log(spark, d)).select("observation_id", "field", "to_value")
 
 
 @query("""SELECT id, strftime(captured_at, '%Y-%m-%dT%H:%M:%SZ') AS captured_at, operator_id,
@@ -252,9 +264,15 @@ def csv_export(spark, d):
     return rec.csv_rows(observations(spark, d))
 
 
-@query()
+@query("""SELECT id, quantity, status, location_text, device_id, round(c_asr, 6) AS asr FROM obs""", obs=True)
 def obs_json(spark, d):
-    return sources.json_rows(observations(spark, d).drop("k"))
+    # written as JSON texts, and read back
+    j = sources.json_rows(observations(spark, d).drop("k"))
+    text = F.col(j.columns[-1])
+    got = j.select(F.from_json(text, "id string, device_id string, status string, parsed struct<quantity:double,"
+                               "location_text:string>, confidence struct<asr:double>").alias("o")).select("o.*")
+    return got.select("id", "parsed.quantity", "status", "parsed.location_text", "device_id",
+                      F.round("confidence.asr", 6).alias("asr"))
 
 
 @query("""SELECT device_id, id FROM obs""", obs=True)
@@ -386,8 +404,7 @@ def latency_stats(spark, d):
   SELECT device_id, min(seq) AS first_alert FROM roll
   WHERE len(l) >= 3 AND l[len(l) // 2 + 1] > 3000 GROUP BY device_id""")
 def latency_alert(spark, d):
-    return an.latency_alerts(_captures(spark, d), "device_id", "seq", "latency", F.lit(3000),
-                             F.floor(F.col("seq") / 4096))
+    return an.latency_alerts(_captures(spark, d), "device_id", "seq", "latency", F.lit(3000))
 
 
 @query("""SELECT id, device_id, round(epoch(captured_at) - epoch(lag(captured_at) OVER (
@@ -564,7 +581,7 @@ def document_tokens(spark, d):
 def num_words(spark, d):
     from tallyline.plans.corpus import spoken
     k = F.col("o_orderkey")
-    said = table(spark, d, "orders").select(
+    said = dealt(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select(
         k.alias("k"), spoken(k % 999999 + 1).alias("text"), F.lit("en").alias("lang"))
     n = ex.scan_numbers(said)
     return n.select("k", F.col("numbers")[0]["value"].alias("value"),
@@ -637,10 +654,9 @@ def article_qty(spark, d):
 
 @query("""SELECT o_orderkey, 'item' || (o_orderkey % 50) || 'x ' || p_name AS item,
   'damaged ' || p_type || ', seen twice' AS description FROM orders
-  JOIN part ON p_partkey = o_orderkey % 200""")
+  JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)""")
 def item_desc(spark, d):
-    o, p = table(spark, d, "orders"), table(spark, d, "part")
-    j = o.join(p, F.col("o_orderkey") % 200 == F.col("p_partkey"))
+    j = dealt(orders_with_parts(spark, d), "o_orderkey")
     item = F.concat(F.lit("item"), (F.col("o_orderkey") % 50).cast("string"), F.lit("x "), "p_name")
     text = F.concat(F.lit("damaged "), "p_type", F.lit("; 12 boxes of "), item,
                     F.lit(" in bin B-2 and seen twice"))
@@ -651,10 +667,9 @@ def item_desc(spark, d):
 @query("""SELECT o_orderkey, n AS item_no, CASE n WHEN 0 THEN (o_orderkey % 80 + 1)::DOUBLE
   WHEN 1 THEN 3.0 ELSE 1.0 END AS quantity, CASE n WHEN 0 THEN p_name WHEN 1 THEN 'cat6 wire'
   ELSE 'tape' END AS item, 'C-' || (o_orderkey % 70) AS location
-  FROM orders JOIN part ON p_partkey = o_orderkey % 200, range(3) r(n)""")
+  FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part), range(3) r(n)""")
 def multi_item(spark, d):
-    o, p = table(spark, d, "orders"), table(spark, d, "part")
-    j = o.join(p, F.col("o_orderkey") % 200 == F.col("p_partkey"))
+    j = dealt(orders_with_parts(spark, d), "o_orderkey")
     k = F.col("o_orderkey")
     text = F.concat((k % 80 + 1).cast("string"), F.lit(" boxes of "), "p_name", F.lit(" in bin c"),
                     (k % 70).cast("string"), F.lit(" and three reels of cat6 wire plus a roll of tape"))
@@ -679,7 +694,7 @@ def commands(spark, d):
         .when(v == 3, "yes, correct").when(v == 4, "Scratch that.")
         .otherwise(F.concat(F.lit("no boxes left, row "), k.cast("string")))
     )
-    o = table(spark, d, "orders").select(
+    o = dealt(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select(
         "o_orderkey", text.alias("text"), F.when(v == 1, "es").otherwise("en").alias("lang"))
     return ex.commands(o).select("o_orderkey", "command.kind", "command.field", "command.value")
 
@@ -690,7 +705,7 @@ def commands(spark, d):
 def edit_values(spark, d):
     from tallyline.plans.corpus import spoken
     k = F.col("o_orderkey")
-    o = table(spark, d, "orders").select(
+    o = dealt(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select(
         "o_orderkey", F.lit("en").alias("lang"),
         F.when(k % 2 == 0, F.concat(F.lit("aisle "), (k % 90).cast("string"), F.lit(" shelf two")))
         .otherwise(F.concat(F.lit(" the back corner "), k.cast("string"))).alias("value"),
@@ -905,18 +920,31 @@ def _clips(spark, d):
         vec, lambda x: x.cast("float")).alias("pcm"))
 
 
-@query()
+@query("""SELECT vec_id AS clip_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))
+    / len(embedding)), 5) AS rms,
+  round(len(list_filter(range(2, len(embedding) + 1), lambda i: (embedding[i] >= 0) <> (embedding[i-1] >= 0)))
+    / (len(embedding) - 1), 6) AS zcr FROM embeddings""")
 def frame_rms(spark, d):
     return _clips(spark, d).select(
         "clip_id", F.round(fr.rms(F.col("pcm")), 5).alias("rms"),
         F.round(fr.zero_crossing_rate(F.col("pcm")), 6).alias("zcr"))
 
 
-@query()
+@query("""WITH m AS (SELECT vec_id AS clip_id, list_transform(range(len(embedding) // 2),
+    lambda i: (embedding[2*i+1]::DOUBLE + embedding[2*i+2]) / 2) AS m FROM embeddings),
+  r AS (SELECT *, list_transform(range((len(m) * 3) // 4), lambda i: m[(i*4)//3+1] * (1 - (i*4)%3 / 3.0)
+    + coalesce(m[(i*4)//3+2], m[(i*4)//3+1]) * ((i*4)%3 / 3.0)) AS r FROM m)
+  SELECT clip_id, len(m)::INTEGER AS mono_samples, len(r)::INTEGER AS samples,
+    round(list_sum(m), 3) + 0.0 AS mono_sum, round(list_sum(r), 3) + 0.0 AS sample_sum FROM r""")
 def resampled(spark, d):
     c = _clips(spark, d).withColumn("m", fr.mono(F.col("pcm"), F.lit(2)))
-    return c.select("clip_id", F.size("m").alias("mono_samples"), F.size(fr.resample(
-        F.col("m"), F.lit(48000), F.lit(16000))).alias("samples"))
+    c = c.withColumn("r", fr.resample(F.col("m"), F.lit(48000), F.lit(36000)))
+
+    def total(name):
+        return (F.round(F.aggregate(name, F.lit(0.0), lambda a, x: a + x.cast("double")), 3) + 0.0).alias(f"{name}_sum")
+
+    return c.select("clip_id", F.size("m").alias("mono_samples"), F.size("r").alias("samples"),
+                    total("m").alias("mono_sum"), total("r").alias("sample_sum"))
 
 
 def _frames(spark, d):
@@ -937,20 +965,6 @@ def vad_trimmed(spark, d):
     return fr.trimmed_length(fr.vad_segments(_frames(spark, d)))
 
 
-def _device_events(spark, d):
-    e = table(spark, d, "events")
-    kinds = F.array(*map(F.lit, ("arm", "observe", "confirm", "observe", "set_field", "scratch", "reject", "disarm")))
-    return e.select(
-        F.concat(F.lit("dev-"), (F.col("user_id") % 10).cast("string")).alias("device_id"),
-        F.col("event_id").alias("seq"),
-        F.element_at(kinds, (F.pmod(F.floor(F.col("value") * 100), F.lit(8)) + 1).cast("int")).alias("kind"))
-
-
-@query()
-def session_replay(spark, d):
-    return replay.replay(_device_events(spark, d), F.floor(F.col("seq") / 4096))
-
-
 @query("""SELECT o_orderkey AS k, status FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'rejected'
   WHEN o_orderstatus = 'O' THEN 'draft' WHEN o_orderstatus = 'P' THEN 'confirmed' ELSE 'synced' END AS status
   FROM orders) WHERE o_orderkey % 23 <> 0 AND o_orderkey % 29 <> 0""")
@@ -974,7 +988,10 @@ def stream_ingest(spark, d):
     return ingest.current_records(accepted, voids).select("k", "status")
 
 
-@query()
+@query("""SELECT device_id, min(captured_at) AS "start", max(captured_at) + INTERVAL 30 MINUTE AS "end", count(*) AS n
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY device_id ORDER BY captured_at, k) AS shift
+    FROM (SELECT *, CASE WHEN captured_at - lag(captured_at) OVER (PARTITION BY device_id ORDER BY captured_at, k)
+      < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM obs)) GROUP BY device_id, shift""", obs=True)
 def shift_summary(spark, d):
     return an.shift_summary(observations(spark, d))
 

@@ -1,4 +1,4 @@
-"""Chunked ordering, audio folds, replay and ingest against direct computation."""
+"""Chunked ordering, audio folds and ingest against direct computation."""
 
 import math
 import random
@@ -6,8 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tallyline.operators import frames as fr
-from tallyline.operators.ordered import lagged, last_n, numbered, trailing
-from tallyline.streaming.replay import NEXT, replay
+from tallyline.operators.ordered import chunked, lagged, last_n, numbered, trailing
 
 
 def _events(n=400):
@@ -16,39 +15,35 @@ def _events(n=400):
     return [("a" if rng.random() < 0.7 else "b", i, rng.randint(0, 99)) for i in range(n)]
 
 
+def test_chunks_follow_the_data(spark):
+    df = spark.range(100_000).select(F.lit("hot").alias("k"), F.pow("id", F.lit(2)).cast("long").alias("o")).unionAll(
+        spark.range(50).select(F.concat(F.lit("c"), F.col("id").cast("string")), F.col("id")))
+    sizes = [r.n for r in chunked(df, ["k"], F.col("o"), rows=1000).where("k = 'hot'").groupBy("_chunk").agg(
+        F.count("*").alias("n")).collect()]
+    assert 90 <= len(sizes) <= 130 and max(sizes) < 2500
+    whole = chunked(df, ["k"], F.col("o"))
+    assert whole.select("k", "_chunk").distinct().count() == 51
+
+
 def test_numbered_lagged_trailing_last(spark):
     rows = _events()
     df = spark.createDataFrame(rows, "k string, o long, v long")
-    chunk = F.floor(F.col("o") / 17)
+    rank = F.col("o")
     seen, want = {}, {}
     for k, o, v in rows:
         past = seen.setdefault(k, [])
         want[o] = (len(past) + 1, past[-1] if past else None, sorted((past + [v])[-5:]))
         past.append(v)
-    got = {r.o: r.rn for r in numbered(df, ["k"], "o", chunk).collect()}
+    got = {r.o: r.rn for r in numbered(df, ["k"], "o", rank, rows=17).collect()}
     assert got == {o: w[0] for o, w in want.items()}
-    got = {r.o: r.p for r in lagged(df, ["k"], "o", "v", chunk, "p").collect()}
+    got = {r.o: r.p for r in lagged(df, ["k"], "o", "v", rank, "p", rows=17).collect()}
     assert got == {o: w[1] for o, w in want.items()}
-    got = {r.o: r.t for r in trailing(df, ["k"], "o", "v", 5, chunk, "t", bucket=11).collect()}
+    got = {r.o: r.t for r in trailing(df, ["k"], "o", "v", 5, rank, "t", bucket=11, rows=17).collect()}
     assert got == {o: w[2] for o, w in want.items()}
     got = {r.k: r.l for r in last_n(df, ["k"], "o", "v", 7, "l", salts=4).collect()}
     assert got == {k: vs[-7:] for k, vs in seen.items()}
 
 
-def test_replay_matches_sequential_walk(spark):
-    rng = random.Random(5)
-    kinds = list(NEXT)
-    rows = [("d" if rng.random() < 0.8 else "e", i, rng.choice(kinds)) for i in range(300)]
-    df = spark.createDataFrame(rows, "device_id string, seq long, kind string")
-    got = {r.seq: (r.state_before[0], r.state_after[0])
-           for r in replay(df, F.floor(F.col("seq") / 13), size=7).collect()}
-    state = {}
-    for d, i, k in rows:
-        before = state.get(d, "i")
-        state[d] = NEXT[k]["iar".index(before)]
-        assert got[i] == (before, state[d])
-
-
 RATE = 16000
 
 
