@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks
 
-TRAINING = 6000
+TRAINING = 2400
 BITS = 12
 WIDTH = 1 << BITS
 UNKNOWN = "und"

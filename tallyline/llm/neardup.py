@@ -186,8 +186,24 @@ def link_sets(sets: list[np.ndarray], part: list[int], percent: int) -> list[tup
     return links
 
 
+def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Every linked node but the smallest of its component, with that one."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for u, v in links:
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    return [(x, find(x)) for x in list(root) if find(x) != x]
+
+
 def _confirm(rows: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links within each tile of ``rows`` (tile, node, part, items)."""
+    """Links confirmed within each tile of ``rows`` (tile, node, part, items), as stars (u, v)."""
 
     def links(tile: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
         unique = {node: (part, items) for node, part, items in tile}
@@ -196,7 +212,7 @@ def _confirm(rows: DataFrame, percent: int) -> DataFrame:
             return []
         found = link_sets([np.frombuffer(unique[x][1], np.uint64) for x in nodes],
                           [unique[x][0] for x in nodes], percent)
-        return [(nodes[i], nodes[j]) for i, j in found]
+        return stars([(nodes[i], nodes[j]) for i, j in found])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tile = None, []
@@ -244,25 +260,34 @@ def _largest_part(parts: DataFrame) -> DataFrame:
     return sizes.groupBy("grp").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count("*").alias("parts"))
 
 
-def confirmed_links(docs: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
-    """Confirmed links (u, v) among the nodes of ``groups`` (grp, node, doc)."""
+def confirmed(docs: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
+    """``node`` and ``component`` of the nodes of ``groups`` (grp, node, doc) with a confirmed link."""
     sized = groups.join(groups.groupBy("grp").agg(F.count("*").alias("n")), "grp")
     n_blocks = F.ceil(F.col("n") / GROUP).cast("int")
     members = keep(sized.withColumn("blocks", n_blocks)
                    .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
                    .select("grp", "node", "doc", "blocks", "block"))
     sets = keep(_sets(docs, members.select("node", "doc"), size).join(members.drop("doc"), "node"))
+    small = keep(_confirm(sets.where("blocks = 1").select(
+        F.col("grp").alias("tile"), "node", F.col("node").alias("part"), "items"), percent))
+    # a small group is all in one task: its stars are its components
+    done = small.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
+        small.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        return done
+    return done.unionAll(components(_large_links(sets.where("blocks > 1"), large, percent)))
+
+
+def _large_links(sets: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (u, v) of groups that are dealt to several blocks."""
     tile = F.xxhash64("grp", "at", "with")
     own = sets.withColumn("at", F.col("block")).withColumn("with", F.lit(0))
     # pivots: the sets that hash into the first PIVOTS / GROUP of a large group
-    pivots = (sets.where((F.col("blocks") > 1)
-                         & (F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks") * GROUP) < PIVOTS))
+    pivots = (sets.where(F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks") * GROUP) < PIVOTS)
               .withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("with", F.lit(0)))
     part = F.col("node").alias("part")
     first = keep(_confirm(own.unionByName(pivots).select(tile.alias("tile"), "node", part, "items"), percent))
-    large = members.where("blocks > 1")
-    if large.isEmpty():
-        return first
     parts = components(first)
     state = keep(large.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
                  .select("grp", "node", "blocks", "block", "part"))
@@ -290,7 +315,7 @@ def _labelled(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Data
         F.min("doc_id").alias("doc"), F.first("sig").alias("sig")))
     groups = components(near_links(nodes)).select("node", F.col("component").alias("grp"))
     groups = keep(groups.join(nodes.select("node", "doc"), "node"))
-    linked = components(confirmed_links(docs, groups, size, percent))
+    linked = keep(confirmed(docs, groups, size, percent))
     least = linked.join(nodes.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("root"))
     roots = keep(linked.join(least, "component").select("node", "component", "root"))
     named = (nodes.select("node", "doc").join(roots, "node", "left").select(
