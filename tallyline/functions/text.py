@@ -87,24 +87,40 @@ def parse_digits(c) -> Column:
 
 
 def format_quantity(c) -> Column:
-    """Minimal decimal form without exponent, over all doubles; null becomes the empty string."""
-    c = col(c)
-    shown = c.cast("double").cast("string")
-    parts = r"^(-?)([0-9]+)\.([0-9]+)E(-?[0-9]+)$"
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(shown, parts, i)
-
-    # with an exponent: the digits, moved by it
-    digits = F.concat(part(2), F.regexp_replace(part(3), "^0$", ""))
-    shift = part(4).try_cast("int")
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -shift - 1), digits)
-    whole = F.rpad(digits, shift + 1, F.lit("0"))
-    split = F.concat(F.substring(digits, F.lit(1), shift + 1), F.lit("."), F.substring(digits, shift + 2, F.length(digits)))
-    moved = F.when(shift < 0, small).when(F.length(digits) <= shift + 1, whole).otherwise(split)
+    """Minimal decimal form without exponent, over all doubles; null becomes the empty string.
+
+    The fewest of 15, 16 or 17 digits that read back as the same number.
+    """
+    c = col(c).cast("double")
+    by_digits = [F.format_string(f"%.{n}e", c) for n in (14, 15, 16)]
+    shown = F.coalesce(*[F.when(x.try_cast("double") == c, x) for x in by_digits], c.cast("string"))
+    parts = r"^(-?)([0-9])\.([0-9]*?)0*e([+-][0-9]+)$"
+
+    def once(value: Column, build) -> Column:
+        """``build`` of a value that is computed a single time."""
+        return F.get(F.transform(F.array(value), build), F.lit(0))
+
+    def moved(text: Column) -> Column:
+        """The digits, moved by the exponent."""
+        def place(x: Column) -> Column:
+            digits, shift = x["digits"], x["shift"]
+            small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -shift - 1), digits)
+            split = F.concat(F.substring(digits, F.lit(1), shift + 1), F.lit("."),
+                             F.substring(digits, shift + 2, F.length(digits)))
+            whole = F.rpad(digits, shift + 1, F.lit("0"))
+            return F.concat(x["sign"], F.when(shift < 0, small).when(
+                F.length(digits) <= shift + 1, whole).otherwise(split))
+
+        found = F.struct(
+            F.regexp_extract(text, parts, 1).alias("sign"),
+            F.concat(F.regexp_extract(text, parts, 2), F.regexp_extract(text, parts, 3)).alias("digits"),
+            F.regexp_extract(text, parts, 4).try_cast("int").alias("shift"))
+        return F.when(text.rlike(parts), once(found, place)).otherwise(text)
+
+    short = (c == F.floor(c)) & (F.abs(c) < 1e15)
     return F.coalesce(
-        F.when(shown.rlike(parts), F.concat(part(1), moved))
-        .otherwise(F.regexp_replace(shown, r"\.0$", "")),
+        F.when(short, c.cast("bigint").cast("string"))
+        .otherwise(once(shown, moved)),
         F.lit(""),
     )
 

@@ -129,6 +129,19 @@ def snapshot_digest(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("digest"))
 
 
+def refresh_report(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
+    """For every dimension whether a pull would change it: ``modified`` or ``not_modified``."""
+    out = None
+    for name, df in new.items():
+        a = snapshot_digest(old[name]).select(F.col("n").alias("old_n"), F.col("digest").alias("old_digest"))
+        one = snapshot_digest(df).join(a).select(
+            F.lit(name).alias("dimension"), "n",
+            F.when((F.col("n") == F.col("old_n")) & (F.col("digest") == F.col("old_digest")), "not_modified")
+            .otherwise("modified").alias("outcome"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def pull_report(locations: DataFrame, parts: DataFrame, units: DataFrame) -> DataFrame:
     """Row counts and digests of the three dimensions, one row each."""
     out = None

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.similarity import jaro_winkler
 from tallyline.functions.text import depluralize, fold, strip_separators, trim_space
-from tallyline.session import cut_lineage
 
 # Acceptance threshold and score of a code match.
 THRESHOLD = 0.85
 CODE_SCORE = 0.98
+#: keys that texts without any word are dealt to
+EMPTY_KEYS = 4096
 
 
 def reference_keys(dim: DataFrame, id_col: str) -> DataFrame:
@@ -148,14 +149,11 @@ def match_texts(texts: DataFrame, keys: DataFrame, code: bool,
     Ties go to the smallest id. Texts without a match above the threshold are
     absent.
     """
-    # the distinct texts are read several times below: written once
-    q = cut_lineage(texts.select(F.col("fold")).where("fold != ''").distinct())
+    q = texts.select(F.col("fold")).where("fold != ''").distinct()
     exact = q.join(keys.select("fold", "id"), "fold").groupBy("fold").agg(
         F.min("id").alias("id")).withColumn("score", F.lit(1.0))
-    rest = cut_lineage(q.join(exact, "fold", "left_anti")).withColumns({
+    rest = q.join(exact, "fold", "left_anti").withColumns({
         "canon": strip_separators("fold"), "deplu": depluralize("fold")})
-    if rest.isEmpty():
-        return exact
     k = keys.select("id", F.col("fold").alias("kfold"), F.col("canon").alias("kcanon"),
                     F.col("deplu").alias("kdeplu"))
 
@@ -175,8 +173,8 @@ def match_texts(texts: DataFrame, keys: DataFrame, code: bool,
     if not code:
         scored = by_similarity(rest, threshold).select("fold", "id", "score")
     else:
-        codes = cut_lineage(rest.where("canon != ''").join(
-            k, F.col("canon") == F.col("kcanon")).groupBy("fold").agg(F.min("id").alias("id"))
+        codes = rest.where("canon != ''").join(
+            k, F.col("canon") == F.col("kcanon")).groupBy("fold").agg(F.min("id").alias("id")
         ).withColumn("score", F.lit(CODE_SCORE))
         # next to a code match only a higher similarity matters; a key equal as
         # a code scores as a code, never by similarity
@@ -184,10 +182,9 @@ def match_texts(texts: DataFrame, keys: DataFrame, code: bool,
         coded = rest.join(codes, "fold", "left_semi")
         scored = codes
         for part, at_least in ((uncoded, threshold), (coded, CODE_SCORE)):
-            if not part.isEmpty():
-                scored = scored.unionByName(by_similarity(part, at_least).where(
-                    (F.col("canon") == "") | (F.col("canon") != F.col("kcanon"))
-                ).select("fold", "id", "score"))
+            scored = scored.unionByName(by_similarity(part, at_least).where(
+                (F.col("canon") == "") | (F.col("canon") != F.col("kcanon"))
+            ).select("fold", "id", "score"))
     best = scored.groupBy("fold").agg(F.min(F.struct(
         (-F.col("score")).alias("s"), F.col("id").alias("id"))).alias("b"))
     return exact.unionByName(best.select(
@@ -201,6 +198,9 @@ def resolve(df: DataFrame, text: str, dim: DataFrame, id_col: str, out_id: str,
     df = df.withColumn("_folded", fold(trim_space(text)))
     hits = match_texts(df.select(F.col("_folded").alias("fold")), keys, code, threshold).select(
         F.col("fold").alias("_folded"), F.col("id").alias(out_id), F.col("score").alias(out_score))
+    # empty texts match nothing: dealt over many keys, they do not meet in one task
+    apart = F.concat(F.lit("\0"), F.pmod(F.monotonically_increasing_id(), F.lit(EMPTY_KEYS)).cast("string"))
+    df = df.withColumn("_folded", F.when(F.coalesce("_folded", F.lit("")) == "", apart).otherwise(F.col("_folded")))
     return df.join(hits, "_folded", "left").drop("_folded")
 
 

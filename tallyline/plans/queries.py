@@ -6,6 +6,8 @@ same result, ``ORACLES`` holds it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from tallyline.plans.corpus import (
     LOG_SQL, OBS_SQL, PARTS_SQL, UTT_SQL, correction_log, dealt, location_dimension, observations,
     orders_with_parts, part_dimension, table, utterances,
 )
-from tallyline.session import cut_lineage
+from tallyline.session import cut_lineage, shared_dir
 from tallyline.streaming import ingest
 
 QUERIES: dict = {}
@@ -119,11 +121,16 @@ def clear_audio(spark, d):
   WHEN k % 41 = 0 THEN 'invalid id' WHEN k % 43 = 0 THEN 'invalid status'
   WHEN k % 47 = 0 THEN 'schema_version must be positive'
   WHEN k % 53 = 0 AND quantity IS NOT NULL AND quantity > 0 THEN 'quantity is negative'
-  WHEN k % 59 = 0 THEN 'confidence.location out of range' END AS reason FROM obs""", obs=True)
+  WHEN k % 59 = 0 THEN 'confidence.location out of range' END AS reason FROM (SELECT * REPLACE (CASE k % 41
+    WHEN 1 THEN 'urn:uuid:' || id WHEN 2 THEN '{' || id || '}' WHEN 3 THEN replace(id, '-', '') ELSE id END AS id)
+    FROM obs)""", obs=True)
 def validate(spark, d):
     k = F.col("k")
     df = observations(spark, d).withColumns({
-        "id": F.when(k % 41 == 0, "bad").otherwise(F.col("id")),
+        # every legal spelling of an id, and one that is none
+        "id": F.when(k % 41 == 0, "bad").when(k % 41 == 1, F.concat(F.lit("urn:uuid:"), "id"))
+        .when(k % 41 == 2, F.concat(F.lit("{"), "id", F.lit("}")))
+        .when(k % 41 == 3, F.replace("id", F.lit("-"), F.lit(""))).otherwise(F.col("id")),
         "status": F.when(k % 43 == 0, "lost").otherwise(F.col("status")),
         "schema_version": F.when(k % 47 == 0, 0).otherwise(1),
         "parsed": F.col("parsed").withField("quantity", F.when(
@@ -298,21 +305,25 @@ def manual_entry(spark, d):
     return ed.manual_entries(typed).select("language", "status", "id", "needs_review")
 
 
-@query("""SELECT id, CASE WHEN k % 6 = 1 THEN 'expired' WHEN k % 6 = 2 THEN 'mismatch'
-  WHEN k % 6 = 3 THEN 'digest' ELSE 'ok' END AS result FROM obs""", obs=True)
+@query("""SELECT id, CASE WHEN k % 60 = 5 THEN 'protocol' WHEN k % 6 = 1 THEN 'expired'
+  WHEN k % 6 = 2 OR k % 60 = 10 THEN 'mismatch' WHEN k % 6 = 3 OR k % 60 = 16 THEN 'digest'
+  ELSE 'ok' END AS result FROM obs""", obs=True)
 def claims_check(spark, d):
     k = F.col("k")
     payload = F.encode(F.to_json("parsed"), "utf-8")
     df = observations(spark, d).withColumn("payload", payload).withColumns({
-        "protocol": F.lit("observation/v1"),
+        # what is missing fails, but for an expiry
+        "protocol": F.when(k % 60 != 5, "observation/v1"),
         "claims": F.struct(
-            F.when(k % 6 == 2, "other").otherwise(F.col("id")).alias("id"),
+            F.when(k % 60 == 10, None).when(k % 6 == 2, "other").otherwise(F.col("id")).alias("id"),
             F.col("device_id").alias("device_id"), F.col("operator_id").alias("operator_id"),
-            F.when(k % 6 == 1, now() - F.make_dt_interval(secs=F.lit(1))).otherwise(now()).alias("expires_at"),
-            F.when(k % 6 == 3, "00").otherwise(F.sha2("payload", 256)).alias("sha256")),
+            F.when(k % 6 == 1, now() - F.make_dt_interval(secs=F.lit(1))).when(
+                k % 60 != 22, now()).alias("expires_at"),
+            F.when(k % 60 == 16, None).when(k % 6 == 3, "00").otherwise(F.sha2("payload", 256)).alias("sha256")),
     })
     problem = rec.claims_problem(now(), "observation/v1")
     return df.withColumn("p", problem).select("id", F.when(
+        F.col("p") == "unexpected protocol", "protocol").when(
         F.col("p") == "token expired", "expired").when(
         F.col("p") == "claims do not match payload", "mismatch").when(
         F.col("p").isNotNull(), "digest").otherwise("ok").alias("result"))
@@ -433,15 +444,25 @@ def pull_report(spark, d):
         "dimension", "n")
 
 
-@query()
+@query("""SELECT 'parts' AS dimension, count(DISTINCT p_name) AS n, 'not_modified' AS outcome FROM part
+  UNION ALL SELECT 'renamed', count(DISTINCT p_name), 'modified' FROM part
+  UNION ALL SELECT 'shorter', count(DISTINCT p_name) - 1, 'modified' FROM part""")
 def snapshot_digest(spark, d):
-    return an.snapshot_digest(part_dimension(spark, d))
+    p = part_dimension(spark, d)
+    first = F.col("name") == p.agg(F.min("name").alias("m")).first().m
+    new = {"parts": p.repartition("name"), "shorter": p.where(~first),
+           "renamed": p.withColumn("name", F.when(first, "another").otherwise(F.col("name")))}
+    return an.refresh_report(dict.fromkeys(new, p), new)
 
 
 @query("SELECT part_number, name FROM parts", parts=True)
 def refdata_snapshot(spark, d):
-    written = cut_lineage(part_dimension(spark, d))
-    return written.select("part_number", "name")
+    root = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
+    parts = part_dimension(spark, d)
+    outcomes = [sources.refresh_snapshot(x, root) for x in (parts.limit(1), parts, parts.repartition("name"))]
+    if outcomes != ["modified", "modified", "not_modified"]:
+        raise AssertionError(outcomes)
+    return sources.read_snapshot(spark, root).select("part_number", "name")
 
 
 @query("SELECT part_number AS id, name, name || 's' AS alias FROM parts", parts=True)
@@ -540,9 +561,19 @@ def digits(spark, d):
 
 
 @query("""SELECT id, CASE WHEN quantity IS NULL THEN '' WHEN quantity = floor(quantity)
-  THEN quantity::BIGINT::VARCHAR ELSE quantity::VARCHAR END AS shown FROM obs""", obs=True)
+  THEN quantity::BIGINT::VARCHAR ELSE quantity::VARCHAR END AS shown,
+  (k % 9 + 1) || repeat('0', 16 + (k % 290)::INT) AS large, '0.' || repeat('0', (k % 300)::INT) || (k % 9 + 1) AS small,
+  (1000000000000000 + k % 1000) || '.5' AS half FROM obs""", obs=True)
 def format_quantity(spark, d):
-    return observations(spark, d).select("id", tx.format_quantity("parsed.quantity").alias("shown"))
+    k = F.col("k")
+    digit = (k % 9 + 1).cast("string")
+    large = F.concat(digit, F.lit("e"), (k % 290 + 16).cast("string"))
+    small = F.concat(digit, F.lit("e-"), (k % 300 + 1).cast("string"))
+    half = (1000000000000000 + k % 1000).cast("double") + 0.5
+    return observations(spark, d).select(
+        "id", tx.format_quantity("parsed.quantity").alias("shown"),
+        tx.format_quantity(large.cast("double")).alias("large"),
+        tx.format_quantity(small.cast("double")).alias("small"), tx.format_quantity(half).alias("half"))
 
 
 @query("""SELECT id, CASE WHEN quantity IS NULL THEN CASE language WHEN 'es' THEN 'sin cantidad'
@@ -982,7 +1013,7 @@ def stream_ingest(spark, d):
             F.col("o_orderstatus") == "P", "confirmed").otherwise("synced").alias("status"),
         F.struct(F.when(k % 23 == 0, -1.0).otherwise(1.0).alias("quantity")).alias("parsed"),
         F.struct(*[F.lit(1.0).alias(n) for n in ("asr", "quantity", "location", "item")]).alias("confidence"),
-        F.lit(1).alias("schema_version"), F.lit(1).cast("bigint").alias("version"))
+        F.lit(1).alias("schema_version"))
     accepted, _ = ingest.ingest_once(rows)
     voids = accepted.where("k % 29 = 0").select("id")
     return ingest.current_records(accepted, voids).select("k", "status")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline import schema
 from tallyline.functions.text import clamp01, trim_space
+from tallyline.operators.analytics import snapshot_digest
 from tallyline.operators.records import csv_rows
 
 
@@ -17,7 +19,7 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
 def write_observations(df: DataFrame, path: str) -> None:
     """Record table by capture date, sorted by id inside the files."""
     (df.withColumn("capture_date", F.to_date("captured_at"))
-     .repartition("capture_date", F.left("id", F.lit(10)))
+     .repartitionByRange("capture_date", "id")
      .sortWithinPartitions("capture_date", "id")
      .write.partitionBy("capture_date").mode("append").parquet(path))
 
@@ -38,11 +40,37 @@ def explode_refdata(doc: DataFrame) -> dict[str, DataFrame]:
     return {k: doc.select(F.inline(k)) for k in ("locations", "parts", "units")}
 
 
-def write_snapshot(df: DataFrame, root: str, version: str) -> str:
-    """Write a dimension version beside the old ones; readers switch by path."""
-    path = f"{root}/version={version}"
-    df.write.mode("overwrite").parquet(path)
-    return path
+_POINTER = "version long, n long, digest long"
+
+
+def current_snapshot(spark: SparkSession, root: str) -> Row | None:
+    """The pointer ``(version, n, digest)`` of the newest complete snapshot, or nothing yet."""
+    try:
+        return spark.read.schema(_POINTER).parquet(f"{root}/pointer").orderBy(F.desc("version")).first()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/data/{current_snapshot(spark, root).version}")
+
+
+def refresh_snapshot(df: DataFrame, root: str) -> str:
+    """Replace a dimension if its content changed: ``modified`` or ``not_modified``.
+
+    The data go beside the old version; then one row in the pointer table makes
+    them current. Readers see the old snapshot or the new one, never a part.
+    """
+    spark = df.sparkSession
+    now, old = snapshot_digest(df).first(), current_snapshot(spark, root)
+    if old and (old.n, old.digest) == (now.n, now.digest):
+        return "not_modified"
+    version = old.version + 1 if old else 1
+    df.write.mode("overwrite").parquet(f"{root}/data/{version}")
+    spark.createDataFrame([(version, now.n, now.digest)], _POINTER).write.mode("append").parquet(f"{root}/pointer")
+    return "modified"
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:

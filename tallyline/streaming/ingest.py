@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyline.operators.records import apply_voids, invalid_reason, upsert
 from tallyline.session import shared_dir
 
+ARRIVAL = T.StructType().add("batch", T.IntegerType()).add("place", T.LongType())
+
 
 def validate_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted records, and rejected ones as ``(id, reason)``."""
@@ -21,21 +23,17 @@ def validate_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def run_ingest(stream: DataFrame, root: str, checkpoint: str, version: str = "version",
-               watermark: str | None = None) -> None:
+def run_ingest(stream: DataFrame, root: str, checkpoint: str) -> None:
     """Drain a stream of records into append-only accepted and rejected logs.
 
     Every micro-batch writes to its own folder, named by the batch id and
     replaced on a repeat, so a replay after a lost executor or driver changes
-    nothing. The merge happens on read (``current_records``), which makes the
-    order of arrival irrelevant.
+    nothing. Accepted rows carry ``arrival``, the batch and the place in it. The
+    merge happens on read (``current_records``) or in ``compact``.
     """
-    if watermark:
-        stream = stream.withWatermark("captured_at", watermark).dropDuplicatesWithinWatermark(
-            ["id", version])
-
     def batch(df: DataFrame, batch_id: int) -> None:
-        df = df.persist()
+        arrival = F.struct(F.lit(batch_id).alias("batch"), F.monotonically_increasing_id().alias("place"))
+        df = df.withColumn("arrival", arrival).persist()
         try:
             ok, bad = validate_split(df)
             ok.write.mode("overwrite").parquet(f"{root}/accepted/batch={batch_id}")
@@ -47,15 +45,33 @@ def run_ingest(stream: DataFrame, root: str, checkpoint: str, version: str = "ve
      .trigger(availableNow=True).start().awaitTermination())
 
 
-def current_records(accepted: DataFrame, voids: DataFrame, version: str = "version") -> DataFrame:
-    """Latest version of every record that is not tombstoned."""
-    return apply_voids(upsert(accepted, accepted.limit(0), version), voids)
+def current_records(accepted: DataFrame, voids: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Of every record that is not tombstoned the row that arrived last from its owner.
+
+    ``base`` holds records merged before (``compact``); ``accepted`` came after it.
+    """
+    return apply_voids(upsert(accepted.limit(0) if base is None else base, accepted, "arrival"), voids)
+
+
+def compact(accepted: DataFrame, base: DataFrame, path: str) -> DataFrame:
+    """Merge an accepted log into the records of the capture dates it touches.
+
+    Records keep their capture date, so the other dates are left as they are. The
+    merged dates go to ``path``; the caller replaces them and drops the log.
+    """
+    dates = accepted.select(F.to_date("captured_at").alias("capture_date")).distinct()
+    touched = base.withColumn("capture_date", F.to_date("captured_at")).join(
+        dates, "capture_date", "left_semi").drop("capture_date")
+    merged = upsert(touched, accepted, "arrival").withColumn("capture_date", F.to_date("captured_at"))
+    merged.write.mode("overwrite").partitionBy("capture_date").parquet(path)
+    return accepted.sparkSession.read.schema(base.schema).parquet(path)
 
 
-def ingest_once(stream: DataFrame, columns_of: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def ingest_once(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drain a stream into a new folder and return its accepted and rejected logs."""
     spark = stream.sparkSession
     root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     run_ingest(stream, root, f"{root}/checkpoint")
-    return (spark.read.schema(stream.schema).parquet(f"{root}/accepted"),
+    stored = T.StructType(stream.schema.fields).add("arrival", ARRIVAL)
+    return (spark.read.schema(stored).parquet(f"{root}/accepted"),
             spark.read.schema("id string, reason string").parquet(f"{root}/rejected"))
