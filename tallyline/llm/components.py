@@ -29,19 +29,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Every node has one smaller link, or larger ones only: nothing is left to move."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionAll(
+        edges.select("v", F.lit(0), F.lit(1)))
+    sums = ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    ordered = edges.where("u < v").isEmpty()
+    return ordered and sums.where("below > 1 OR (below = 1 AND above = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) of every node that ``edges`` (u, v) links."""
     now = keep(edges.select("u", "v").where("u <> v").distinct())
-    state = None
-    while True:
-        grown = keep(_star(now, large=True))
-        after = keep(_star(grown, large=False))
-        seen = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    while not _all_stars(now):
+        after = keep(_star(_star(now, large=True), large=False))
         forget(now)
-        forget(grown)
         now = after
-        if seen == state or not seen[0]:
-            break
-        state = seen
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -14,7 +14,7 @@ does so for a document at similarity 0.39, and 0.56 ** 5, one in eighteen, for a
 that share one passage at that similarity; a pair has about nine chunks to meet in.
 
 The linked groups are confirmed on full sets. A group is checked in one task up to
-``GROUP`` sets. A larger one is dealt to blocks that each also hold a few pivots; what the
+``GROUP`` shingles in all. A larger one is dealt to blocks that each also hold a few pivots; what the
 pivots leave apart (the sets outside the group's largest confirmed part) then meets every
 block. Confirmed links make the components.
 
@@ -41,7 +41,8 @@ from .components import components
 CHUNKS, SIZE = 12, 6
 N = CHUNKS * SIZE
 NEAR = 44
-GROUP, PIVOTS = 1500, 8
+#: shingles of all sets of a group, or of a block, that one task compares; pivots of a large group
+GROUP, PIVOTS = 2_000_000, 8
 
 _RNG = np.random.Generator(np.random.PCG64(977))
 _FLIP = _RNG.integers(1, 1 << 63, N, dtype=np.uint64)
@@ -250,7 +251,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                  pa.array([s.tobytes() for s, m in zip(sets, mine) if m], pa.binary())], ["node", "items"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    named = texts.alias("t").join(wanted.alias("w"), F.expr("t.doc <=> w.doc")).select("w.node", "t.text")
+    # texts and wanted nodes grow alike: the join shuffles at every size
+    named = texts.alias("t").join(wanted.hint("merge").alias("w"), F.expr("t.doc <=> w.doc")).select(
+        "w.node", "t.text")
     # a doc_id that stands in several rows gives each node once
     return named.mapInArrow(run, "node long, items binary").dropDuplicates(["node"])
 
@@ -261,12 +264,12 @@ def _largest_part(parts: DataFrame) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
-    """``node`` and ``component`` of the nodes of ``groups`` (grp, node, doc) with a confirmed link."""
-    sized = groups.join(groups.groupBy("grp").agg(F.count("*").alias("n")), "grp")
-    n_blocks = F.ceil(F.col("n") / GROUP).cast("int")
+    """``node`` and ``component`` of the nodes of ``groups`` (grp, node, doc, size) with a confirmed link."""
+    sized = groups.join(groups.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("sizes")), "grp")
+    n_blocks = F.ceil(F.col("sizes") / GROUP).cast("int")
     members = keep(sized.withColumn("blocks", n_blocks)
                    .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-                   .select("grp", "node", "doc", "blocks", "block"))
+                   .select("grp", "node", "doc", "n", "size", "blocks", "block"))
     sets = keep(_sets(docs, members.select("node", "doc"), size).join(members.drop("doc"), "node"))
     small = keep(_confirm(sets.where("blocks = 1").select(
         F.col("grp").alias("tile"), "node", F.col("node").alias("part"), "items"), percent))
@@ -283,19 +286,19 @@ def _large_links(sets: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (u, v) of groups that are dealt to several blocks."""
     tile = F.xxhash64("grp", "at", "with")
     own = sets.withColumn("at", F.col("block")).withColumn("with", F.lit(0))
-    # pivots: the sets that hash into the first PIVOTS / GROUP of a large group
-    pivots = (sets.where(F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks") * GROUP) < PIVOTS)
+    # pivots: about PIVOTS sets of a group, by a hash
+    pivots = (sets.where(F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")) < PIVOTS)
               .withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("with", F.lit(0)))
     part = F.col("node").alias("part")
     first = keep(_confirm(own.unionByName(pivots).select(tile.alias("tile"), "node", part, "items"), percent))
     parts = components(first)
     state = keep(large.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-                 .select("grp", "node", "blocks", "block", "part"))
+                 .select("grp", "node", "size", "blocks", "block", "part"))
     split = state.join(_largest_part(state).where("parts > 1"), "grp")
     minor = split.where("part <> main")
     if minor.isEmpty():
         return first
-    minor = (minor.join(minor.groupBy("grp").agg(F.count("*").alias("m")), "grp")
+    minor = (minor.join(minor.groupBy("grp").agg(F.sum("size").alias("m")), "grp")
              .withColumn("pieces", F.ceil(F.col("m") / GROUP).cast("int"))
              .withColumn("with", F.pmod(F.xxhash64("node", F.lit(2)), F.col("pieces")).cast("int")))
     left = split.join(minor.groupBy("grp").agg(F.max("pieces").alias("pieces")), "grp")
@@ -312,9 +315,9 @@ def _labelled(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Data
     """Documents with their nodes; nodes with their component and its smallest doc_id."""
     drawn = keep(sketch(docs, size))
     nodes = keep(drawn.where("n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc"), F.first("sig").alias("sig")))
+        F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.max("n_shingles").alias("size")))
     groups = components(near_links(nodes)).select("node", F.col("component").alias("grp"))
-    groups = keep(groups.join(nodes.select("node", "doc"), "node"))
+    groups = keep(groups.join(nodes.select("node", "doc", "size"), "node"))
     linked = keep(confirmed(docs, groups, size, percent))
     least = linked.join(nodes.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("root"))
     roots = keep(linked.join(least, "component").select("node", "component", "root"))

@@ -187,7 +187,7 @@ def test_near_duplicates(spark, docs, size, percent):
 
 
 def test_large_groups_are_dealt_to_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "GROUP", 6)
+    monkeypatch.setattr(neardup, "GROUP", 600)
     monkeypatch.setattr(neardup, "PIVOTS", 1)
     rng = random.Random(8)
     texts = [t for t in family(rng, 50, 100, 8)]
