@@ -64,7 +64,7 @@ def compact(accepted: DataFrame, base: DataFrame, path: str) -> DataFrame:
         dates, "capture_date", "left_semi").drop("capture_date")
     merged = upsert(touched, accepted, "arrival").withColumn("capture_date", F.to_date("captured_at"))
     merged.write.mode("overwrite").partitionBy("capture_date").parquet(path)
-    return accepted.sparkSession.read.schema(base.schema).parquet(path)
+    return accepted.sparkSession.read.schema(base.schema).parquet(path).select(*base.columns)
 
 
 def ingest_once(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
