@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from tallyline.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -34,16 +34,9 @@ def rows(pdf):
     return sorted(tuple(map(cell, r)) for r in pdf.itertuples(index=False))
 
 
-# the others run in the driver's own comparison
-QUICK = ["obs_scan", "list_page", "push_batches", "validate", "transitions", "mark_synced",
-         "merge_upsert", "corr_latest", "csv_export", "stock_by_location", "latency_stats",
-         "latency_alert", "time_per_item", "corrections_inline", "num_words", "multi_item",
-         "apply_edits", "stream_ingest"]
-
-
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, db, name):
-    got = entry.queries()[name](spark, SF).toPandas()
-    want = db.execute(entry.oracle_sql()[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()
+    want = db.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
