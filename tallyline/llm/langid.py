@@ -175,15 +175,18 @@ def _has_letter(rows: pa.Array, data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def identify(docs: DataFrame, model: Model | None, *carry: str) -> DataFrame:
     """``lang_pred`` and ``score`` of every document, beside the columns named in ``carry``."""
-    kept = docs.select(*carry, F.col("text").alias("_text"))
+    # a text that is carried is sent once
+    text = "text" if "text" in carry else "_text"
+    kept = docs.select(*carry, *([] if text in carry else [F.col("text").alias(text)]))
+    at_text = kept.columns.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by languages and WIDTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in blocks(batches, "_text"):
+        for rows, data, at in blocks(batches, text):
             n = rows.num_rows
             lang, score = np.full(n, UNKNOWN, object), np.zeros(n)
             if sent.value is not None:
-                known = _has_letter(rows.column(n_carry), data, at)
+                known = _has_letter(rows.column(at_text), data, at)
                 got, sure = sent.value.predict(features(data, at))
                 lang[known], score[known] = got[known], sure[known]
             yield pa.RecordBatch.from_arrays(
@@ -191,16 +194,16 @@ def identify(docs: DataFrame, model: Model | None, *carry: str) -> DataFrame:
                  pa.array(score.astype(np.float64))], [*carry, "lang_pred", "score"])
 
     n_carry = len(carry)
-    schema = kept.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    schema = kept.select(*carry).schema.add("lang_pred", "string").add("score", "double")
     return kept.mapInArrow(run, schema)
 
 
 def set_language(docs: DataFrame, model: Model | None) -> DataFrame:
     """Documents with ``lang`` as predicted; those without a language go, other columns stay."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    told = identify(docs.select(row.alias("row"), "text"), model, "row").where(F.col("lang_pred") != UNKNOWN)
-    return told.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`")
-                         for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    told = identify(docs.select(row.alias("row"), "text"), model, "row", "text").where(F.col("lang_pred") != UNKNOWN)
+    return told.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col("text") if c == "text"
+                         else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
