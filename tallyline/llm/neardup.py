@@ -6,12 +6,13 @@ the signature. Two signatures at Hamming distance (symbols that differ) of at mo
 chunk is indexed under every choice of the one symbol that may be wrong, so any such pair
 shares a key.
 
-Pairs are never listed within a key. Each key names a leader (its smallest member), and
-members within ``NEAR`` of the leader's signature are linked to it; the rest meet in their
-other keys. A leader can be far from a similar pair only if the five symbols of the key come
-from what the pair shares with a document unlike it. At most 0.39 ** 5, one key in a hundred,
-does so for a document at similarity 0.39, and 0.56 ** 5, one in eighteen, for all documents
-that share one passage at that similarity; a pair has about nine chunks to meet in.
+A key names a leader (its smallest member), and members within ``NEAR`` of the leader's
+signature are linked to it. If others are further away, they are compared within the key,
+with each other and with the shell of members further than ``NEAR - REACH``: by the triangle
+inequality no pair within ``REACH`` that shares a key is parted. One task does so for up to
+``CROWD`` of them; more are split on a further chunk, in which such a pair has at most its
+even share of errors, until they are few or near. A key that no chunk is left for names
+another leader, round by round.
 
 The linked groups are confirmed on full sets. A group is checked in one task up to
 ``GROUP`` shingles in all. A larger one is dealt to blocks that each also hold a few pivots; what the
@@ -19,7 +20,8 @@ pivots leave apart (the sets outside the group's largest confirmed part) then me
 block. Confirmed links make the components.
 
 At similarity s a pair shares no key with chance (1 - s^6 - 6 s^5 (1 - s))^12: 2e-8 at 0.85,
-3e-6 at 0.8; with one chunk in eighteen lost, 1e-7 and 1e-5. Sets are 64-bit hashes.
+3e-6 at 0.8. It is further apart than ``REACH`` with chance 1e-8 and 7e-6; only such a pair can
+be lost to a leader, whatever other documents hold. Sets are 64-bit hashes.
 
 Defined results: words are lower-cased in A-Z only; null or wordless text has an empty set
 and is linked with nothing; fewer words than a shingle make one shingle; rows with equal
@@ -28,7 +30,8 @@ sets are one node, repeated rows as well; other columns pass untouched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,9 @@ from .components import components
 
 CHUNKS, SIZE = 12, 6
 N = CHUNKS * SIZE
-NEAR = 44
+NEAR, REACH = 44, 30
+#: members of a key that one task compares
+CROWD = 256
 #: shingles of all sets of a group, or of a block, that one task compares; pivots of a large group
 GROUP, PIVOTS = 2_000_000, 8
 
@@ -79,12 +84,37 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+_PLACE = np.arange(N, dtype=np.uint64) << np.uint64(16)
+
+
+def _terms(sig: np.ndarray) -> np.ndarray:
+    return mix64((sig.astype(np.uint64) | _PLACE) + np.uint64(1)).reshape(-1, CHUNKS, SIZE)
+
+
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
     """For every signature its index keys: each chunk with each one of its symbols left out."""
-    place = np.arange(N, dtype=np.uint64) << np.uint64(16)
-    terms = mix64((sig.astype(np.uint64) | place) + np.uint64(1)).reshape(-1, CHUNKS, SIZE)
+    terms = _terms(sig)
     without = terms.sum(axis=2, dtype=np.uint64)[:, :, None] - terms
-    return mix64(without.reshape(-1, N) ^ mix64(place + np.uint64(77)))
+    return mix64(without.reshape(-1, N) ^ mix64(_PLACE + np.uint64(77)))
+
+
+def errors_left(used: int) -> int:
+    """Errors that a pair within REACH has at most in one of the chunks not in the bits of ``used``."""
+    return REACH // max(1, CHUNKS - used.bit_count())
+
+
+def split_keys(key: np.ndarray, sig: np.ndarray, used: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every member of a key its further keys, and the chunks that these use.
+
+    Two members within REACH, with at least the chunks in ``used`` behind them, share one.
+    """
+    chunks = [c for c in range(CHUNKS) if not used >> c & 1]
+    outs = list(combinations(range(SIZE), errors_left(used)))
+    stay = np.array([[i not in out for i in range(SIZE)] for out in outs], np.uint64)
+    label = np.arange(len(chunks) * len(outs), dtype=np.uint64) + np.uint64(N)
+    sums = (_terms(sig)[:, chunks, None, :] * stay).sum(axis=3, dtype=np.uint64).reshape(len(sig), -1)
+    more = mix64(mix64(sums ^ mix64(label)) ^ key[:, None])
+    return more, np.repeat([used | 1 << c for c in chunks], len(outs))
 
 
 def _node(items: np.ndarray) -> int:
@@ -141,13 +171,65 @@ def _distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("node", "lead", "sig", "sig2").mapInArrow(run, "node long, lead long, far int")
 
 
+def _split(crowds: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The members of crowded keys under further keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                node, key = part.column(0).to_numpy(), part.column(1).to_numpy().view(np.uint64)
+                sig = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint16).reshape(-1, N)
+                used = part.column(2).to_numpy().copy()
+                first = used == 0  # a first key doesn't say its chunk
+                used[first] = 1 << (chunk_keys(sig[first]) == key[first, None]).argmax(axis=1) // SIZE
+                for u in np.unique(used).tolist():
+                    mine = used == u
+                    keys, chunks = split_keys(key[mine], sig[mine], u)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(node[mine], keys.shape[1])),
+                         pa.array(np.tile(chunks, len(keys)).astype(np.int32))], ["key", "node", "used"])
+
+    rows = crowds.select("node", "key", "used").join(nodes.select("node", "sig"), "node")
+    return rows.select("node", "key", "used", "sig").mapInArrow(run, "key long, node long, used int")
+
+
+def _compared(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (u, v) within REACH of the members of each key in ``rows``, one of them apart, as stars."""
+
+    def links(members: list[tuple[int, bool, bytes]]) -> list[tuple[int, int]]:
+        node = [m[0] for m in members]
+        sig = np.frombuffer(b"".join(m[2] for m in members), np.uint16).reshape(-1, N)
+        found = []
+        for i in (i for i, m in enumerate(members) if m[1]):
+            found += [(node[i], node[j]) for j in np.flatnonzero((sig != sig[i]).sum(axis=1) <= REACH) if j != i]
+        return stars(found)
+
+    sent = rows.select("key", "node", "apart").join(nodes.select("node", "sig"), "node")
+    return _by_tile(sent.select(F.col("key").alias("tile"), "node", "apart", "sig"), links)
+
+
 def near_links(nodes: DataFrame) -> DataFrame:
-    """Links (u, v) from the members of every key to its leader, where the signatures are near."""
-    keys = _keyed(nodes)
-    lead = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    pairs = keys.join(lead.drop("n"), "key").where("node <> lead").select("node", "lead").distinct()
-    return _distances(pairs, nodes).where(F.col("far") <= NEAR).select(
-        F.col("node").alias("u"), F.col("lead").alias("v"))
+    """Links (u, v) whose components hold every pair that shares a key and is within REACH."""
+    rows, links = _keyed(nodes), None
+    while True:
+        lead = rows.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
+        led = rows.join(lead.drop("n"), "key").where("node <> lead")
+        led = keep(led if "used" in led.columns else led.withColumn("used", F.lit(0)))
+        far = keep(_distances(led.select("node", "lead").distinct(), nodes))
+        found = far.where(F.col("far") <= NEAR).select(F.col("node").alias("u"), F.col("lead").alias("v"))
+        links = found if links is None else links.unionAll(found)
+        shell = keep(led.join(far, ["node", "lead"]).where(F.col("far") > NEAR - REACH).select(
+            "key", "node", "used", (F.col("far") > NEAR).alias("apart")))
+        parted = shell.groupBy("key").agg(F.max("apart").alias("parted"), F.count("*").alias("n"))
+        left = keep(shell.join(parted.where("parted AND n > 1").drop("parted"), "key"))
+        links = links.unionAll(_compared(left.where(F.col("n") <= CROWD), nodes))
+        crowds = left.where(F.col("n") > CROWD)
+        if crowds.isEmpty():
+            return links
+        # by the bits of used: whether a chunk is left in which the errors leave a symbol
+        whole = F.bit_count("used") <= max(k for k in range(CHUNKS) if errors_left((1 << k) - 1) < SIZE)
+        rows = keep(_split(crowds.where(whole), nodes).unionByName(crowds.where(~whole).select("key", "node", "used")))
 
 
 # ------------------------------------------------------------- confirmation
@@ -203,17 +285,8 @@ def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(x, find(x)) for x in list(root) if find(x) != x]
 
 
-def _confirm(rows: DataFrame, percent: int) -> DataFrame:
-    """Links confirmed within each tile of ``rows`` (tile, node, part, items), as stars (u, v)."""
-
-    def links(tile: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
-        unique = {node: (part, items) for node, part, items in tile}
-        nodes = list(unique)
-        if len(nodes) < 2:
-            return []
-        found = link_sets([np.frombuffer(unique[x][1], np.uint64) for x in nodes],
-                          [unique[x][0] for x in nodes], percent)
-        return stars([(nodes[i], nodes[j]) for i, j in found])
+def _by_tile(rows: DataFrame, links: Callable[[list[tuple]], list[tuple[int, int]]]) -> DataFrame:
+    """What ``links`` gives for the rows of each tile (without the tile), as (u, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tile = None, []
@@ -224,19 +297,33 @@ def _confirm(rows: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             done: list[tuple[int, int]] = []
-            for key, node, part, items in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for key, *row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
                 if key != now and tile:
                     done += links(tile)
                     tile = []
                 now = key
-                tile.append((node, part, items))
+                tile.append(tuple(row))
             if done:
                 yield out(done)
         if tile:
             yield out(links(tile))
 
-    return (rows.repartition("tile").sortWithinPartitions("tile")
-            .select("tile", "node", "part", "items").mapInArrow(run, "u long, v long"))
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "u long, v long")
+
+
+def _confirm(rows: DataFrame, percent: int) -> DataFrame:
+    """Links confirmed within each tile of ``rows`` (tile, node, part, items), as stars (u, v)."""
+
+    def links(tile: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
+        unique = {node: (part, items) for node, part, items in tile}
+        nodes = list(unique)
+        if len(nodes) < 2:
+            return []
+        found = link_sets([np.frombuffer(unique[x][1], np.uint64) for x in nodes],
+                          [unique[x][0] for x in nodes], percent)
+        return stars([(nodes[i], nodes[j]) for i, j in found])
+
+    return _by_tile(rows.select("tile", "node", "part", "items"), links)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:

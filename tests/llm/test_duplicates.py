@@ -225,6 +225,74 @@ def test_any_pair_with_few_errors_shares_a_key():
     assert not set(x[0].tolist()) & set(x[1].tolist())
 
 
+def linked(spark, sig):
+    """The component of every signature (by row) that near_links links."""
+    nodes = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sig)], "node long, sig binary")
+    return dict(tuple(r) for r in components(neardup.near_links(nodes)).collect())
+
+
+def check_links(spark, sig):
+    """All pairs within REACH that share a key are in one component; returns their number."""
+    part, keys = linked(spark, sig), [set(k) for k in neardup.chunk_keys(sig).tolist()]
+    pairs = [(i, int(j)) for i in range(len(sig)) for j in np.flatnonzero((sig[:i] != sig[i]).sum(axis=1) <= neardup.REACH)
+             if keys[i] & keys[j]]
+    assert all(part.get(i, i) == part.get(j, j) for i, j in pairs)
+    return len(pairs)
+
+
+def test_far_leaders_of_all_keys_part_no_pair(spark):
+    rng = np.random.default_rng(4)
+    pair = rng.integers(0, 1 << 16, (2, neardup.N)).astype(np.uint16)
+    pair[1] = pair[0]
+    pair[1, ::neardup.SIZE] ^= 1  # an error in each chunk: a key in each is shared
+    # for every chunk a smaller node that is unlike the pair but for these symbols
+    unlike = rng.integers(0, 1 << 16, (neardup.CHUNKS, neardup.N)).astype(np.uint16)
+    for c in range(neardup.CHUNKS):
+        at = slice(c * neardup.SIZE + 1, (c + 1) * neardup.SIZE)
+        unlike[c, at] = pair[0, at]
+    assert check_links(spark, np.concatenate([unlike, pair])) == 1
+
+
+@pytest.mark.parametrize("crowd", [1, 6])
+def test_crowded_keys_are_split(spark, monkeypatch, crowd):
+    monkeypatch.setattr(neardup, "CROWD", crowd)
+    rng = np.random.default_rng(crowd)
+    # most documents share a few symbols with all others, and few are alike
+    common = rng.integers(0, 1 << 16, neardup.N)
+    base = np.where(rng.random((60, neardup.N)) < 0.45, common, rng.integers(0, 1 << 16, (60, neardup.N)))
+    alike = np.where(rng.random((60, neardup.N)) < 0.75, base, rng.integers(0, 1 << 16, (60, neardup.N)))
+    sig = rng.permutation(np.concatenate([base, alike])).astype(np.uint16)
+    assert check_links(spark, sig) > 40
+
+
+def test_further_keys_of_all_pairs_within_reach():
+    rng = np.random.default_rng(3)
+    key = np.zeros(100, np.uint64)
+    for used in (0b1, 0b1000_0000_0010, 0b1110_0000_0000, 0b1111_1000_0000):
+        a = rng.integers(0, 1 << 16, (100, neardup.N)).astype(np.uint16)
+        b = a.copy()
+        free = [i for i in range(neardup.N) if not used >> i // neardup.SIZE & 1]
+        for i in range(len(b)):
+            b[i, rng.choice(free, neardup.REACH, replace=False)] ^= 1
+        (x, chunks), (y, _) = neardup.split_keys(key, a, used), neardup.split_keys(key, b, used)
+        assert all(set(p) & set(q) for p, q in zip(x.tolist(), y.tolist()))
+        assert all(c & used == used and c.bit_count() == used.bit_count() + 1 for c in chunks.tolist())
+
+
+def test_near_duplicates_among_documents_of_shared_lines(spark):
+    rng = random.Random(12)
+    lines = [" ".join(f"l{rng.randrange(10 ** 6)}" for _ in range(8)) for _ in range(24)]
+    texts = []
+    for i in range(1200):
+        own = rng.sample(lines, 10)
+        texts.append("\n".join(own))
+        if i % 12 == 0:
+            own[rng.randrange(10)] = f"only {rng.randrange(10 ** 6)}"
+            texts.append("\n".join(own))
+    rng.shuffle(texts)
+    assert near(as_docs(spark, texts), 5, 80) == brute_components(list(enumerate(texts)), 5, 80)
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_linking_sets(seed):
     rng = np.random.default_rng(seed)
