@@ -9,11 +9,15 @@ that touch no base span, those above a threshold are added: for each kind, the l
 which the candidates held back from training reach ``PRECISION``.
 
 The trees learn from the candidates of at most about ``TRAINING`` documents, chosen by a
-hash of doc_id and text; all documents are searched, as whole texts.
+hash of doc_id and text. The thresholds come from all candidates of all other documents
+(those with a text that was trained on left out), counted by kind and score in ``BINS``
+steps; however few candidates a kind has, their share counts as it is. All documents are
+searched, as whole texts.
 
 Defined results: null or empty text has no spans; positions are code points, ends
 exclusive; of added spans that overlap the likelier stays, then the earlier; repeated rows
-get the same spans; without candidates to learn from nothing is added; other columns are
+get the same spans; a kind without held-back candidates is not added to; without candidates to train on all
+score 0.5; other columns are
 ignored.
 """
 
@@ -35,6 +39,7 @@ TRAINING = 20_000
 #: of one document's candidates so many, chosen by a hash, are learned from
 PER_DOCUMENT = 50
 PRECISION = 0.98
+BINS = 1 << 12
 
 Span = tuple[int, int]
 
@@ -158,13 +163,13 @@ def _bare(text: str, a: int, b: int) -> Span:
     return a, b
 
 
-def examples(text: str) -> list[tuple[list[float], bool]]:
-    """Described candidates and whether each is a base span of its kind."""
+def examples(text: str, most: int | None = None) -> list[tuple[list[float], bool]]:
+    """Described candidates, at most so many, and whether each is a base span of its kind."""
     valid = {(k, *_bare(text, a, b)) for a, k, b in base_spans(text)}
     found = candidates(text)
-    if len(found) > PER_DOCUMENT:
+    if most is not None and len(found) > most:
         found.sort(key=lambda s: hashlib.md5(repr((s, text[s[0]:s[2]])).encode()).digest())
-        found = found[:PER_DOCUMENT]
+        found = found[:most]
     # a phone's country code is part of the base span, not of every candidate
     return [(describe(text, s), (s[1], *_bare(text, s[0], s[2])) in valid) for s in found]
 
@@ -240,48 +245,88 @@ class Model:
     thresholds: np.ndarray
 
 
-def calibrate(likely: np.ndarray, valid: np.ndarray, kind: np.ndarray, precision: float) -> np.ndarray:
-    """Per kind the lowest threshold whose candidates, on held-back data, are valid often enough."""
+def tally(likely: np.ndarray, valid: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Candidates, and valid ones, by kind and score."""
+    at = kind * BINS + np.minimum((likely * BINS).astype(np.int64), BINS - 1)
+    n = len(KINDS) * BINS
+    return np.stack([np.bincount(at, minlength=n), np.bincount(at[valid > 0], minlength=n)]).reshape(2, len(KINDS), BINS)
+
+
+def thresholds(counts: np.ndarray, precision: float) -> np.ndarray:
+    """Per kind the lowest threshold whose candidates are valid often enough."""
+    total, right = np.cumsum(counts[:, :, ::-1], axis=2)[:, :, ::-1]
     out = np.full(len(KINDS), np.inf)
     for k in range(len(KINDS)):
-        p, v = likely[kind == k], valid[kind == k]
-        if len(p) >= 20:
-            order = np.argsort(-p, kind="stable")
-            right = np.cumsum(v[order]) / np.arange(1, len(p) + 1)
-            # equal scores stand or fall together
-            ends = np.append(p[order][1:] != p[order][:-1], True)
-            good = np.flatnonzero((right >= precision) & ends)
-            if len(good):
-                out[k] = p[order][good[-1]]
+        good = np.flatnonzero((right[k] >= precision * total[k]) & (counts[0, k] > 0))
+        if len(good):
+            out[k] = good[0] / BINS
     return out
 
 
-def learn(docs: DataFrame, training: int = TRAINING) -> Model | None:
-    """Fit trees and thresholds on the candidates of a bounded sample of documents."""
+def calibrate(likely: np.ndarray, valid: np.ndarray, kind: np.ndarray, precision: float) -> np.ndarray:
+    """Thresholds from candidates at hand."""
+    return thresholds(tally(likely, valid, kind), precision)
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.md5(text.encode()).digest()
+
+
+def _mark(text: str) -> int:
+    return int.from_bytes(_digest(text)[8:], "little", signed=True)
+
+
+def _held_back(docs: DataFrame, trees: Boosted, trained: frozenset[int]) -> np.ndarray:
+    """The tally of all candidates in documents whose text was not trained on."""
+    sent = docs.sparkSession.sparkContext.broadcast((trees, trained))  # marks of TRAINING documents at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, trained = sent.value
+        counts = np.zeros((2, len(KINDS), BINS), np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                found = [e for t in batch.column(0).slice(lo, 512).to_pylist() if _mark(t) not in trained
+                         for e in examples(t)]
+                if found:
+                    x = np.array([f[0] for f in found])
+                    counts += tally(trees(x), np.array([f[1] for f in found]), x[:, 0].astype(np.int64))
+        kind, step = np.nonzero(counts[0])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(kind, pa.int32()), pa.array(step, pa.int32()), pa.array(counts[0, kind, step]),
+             pa.array(counts[1, kind, step])], ["kind", "step", "n", "n_valid"])
+
+    rows = (docs.where(F.col("text").isNotNull()).select("text")
+            .mapInArrow(run, "kind int, step int, n long, n_valid long")
+            .groupBy("kind", "step").agg(F.sum("n").alias("n"), F.sum("n_valid").alias("n_valid")).collect())
+    counts = np.zeros((2, len(KINDS), BINS), np.int64)
+    for r in rows:
+        counts[:, r["kind"], r["step"]] = r["n"], r["n_valid"]
+    return counts
+
+
+def learn(docs: DataFrame, training: int = TRAINING) -> Model:
+    """Fit trees on the candidates of a bounded sample of documents, thresholds on those of all others."""
     total = docs.count()
     key = F.xxhash64("doc_id", "text")
     share = min(1.0, training / max(total, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(hashlib.md5(t.encode()).digest()[0] % 2, x, v)
-                    for t in batch.column(0).to_pylist() for x, v in examples(t)]
+            rows = [(_mark(t), x, v) for t in batch.column(0).to_pylist() if _digest(t)[0] % 2 == 0
+                    for x, v in examples(t, PER_DOCUMENT)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.float64())),
-                 pa.array([r[2] for r in rows], pa.bool_())], ["side", "x", "valid"])
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64())),
+                 pa.array([r[2] for r in rows], pa.bool_())], ["mark", "x", "valid"])
 
     drawn = docs.where(F.col("text").isNotNull() & (F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30))))
-    rows = drawn.select("text").mapInArrow(run, "side int, x array<double>, valid boolean").toArrow()
-    if rows.num_rows < 100:
-        return None
-    x, valid, side = np.array(rows["x"].to_pylist()), np.array(rows["valid"].to_pylist()), rows["side"].to_numpy()
-    order = np.lexsort(x.T)  # the order of rows must not matter
-    x, valid, side = x[order], valid[order].astype(float), side[order]
-    if not (side == 0).any() or not (side == 1).any():
-        return None
-    trees = Boosted().fit(x[side == 0], valid[side == 0])
-    held = side == 1
-    return Model(trees, calibrate(trees(x[held]), valid[held], x[held, 0].astype(int), PRECISION))
+    rows = drawn.select("text").mapInArrow(run, "mark long, x array<double>, valid boolean").toArrow()
+    trees = Boosted()
+    if rows.num_rows:
+        x, valid = np.array(rows["x"].to_pylist()), np.array(rows["valid"].to_pylist())
+        order = np.lexsort(x.T)  # the order of rows must not matter
+        trees.fit(x[order], valid[order].astype(float))
+    counts = _held_back(docs, trees, frozenset(rows["mark"].to_pylist()))
+    return Model(trees, thresholds(counts, PRECISION))
 
 
 def added_spans(texts: list[str], base: list[list[tuple]], model: Model) -> list[list[tuple[int, int, int]]]:

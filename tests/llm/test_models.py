@@ -91,6 +91,31 @@ def test_trees_add_what_looks_valid_and_leave_the_rest(spark):
     assert "<phone>" in clean.where("doc_id = 1").first().text
 
 
+def test_thresholds_come_from_all_documents(spark):
+    rng = random.Random(5)
+    digit = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts = [f"call +1 ({digit(3)}) 555-{digit(4)} now" if i % 50 == 0 else f"plain words {i}" for i in range(3000)]
+    texts.append("call (212) 555-1234 now")
+    df = as_docs(spark, texts)
+    # a sample that holds about two of the sixty numbers
+    model = pii.learn(df, training=100)
+    phone = pii.KINDS.index("phone")
+    assert np.isfinite(model.thresholds[phone]) and np.isinf(np.delete(model.thresholds, phone)).all()
+    clean = pii.redact(df.where("doc_id = 3000"), model)
+    assert clean.first().text == "call <phone> now"
+    # none of them, and none at all
+    assert np.isfinite(pii.learn(df, training=0).thresholds[phone])
+    assert np.isinf(pii.learn(df.where("doc_id % 100 = 1")).thresholds).all()
+
+
+def test_counted_candidates_are_all_but_those_trained_on(spark):
+    text = " ".join(f"+1 (555) 555-{i:04}" for i in range(80))
+    df = as_docs(spark, [text, text + " ", text, "none", None])
+    trees = pii.Boosted()
+    assert pii._held_back(df, trees, frozenset())[:, 3].sum(axis=1).tolist() == [240, 240]
+    assert pii._held_back(df, trees, frozenset([pii._mark(text)]))[:, 3].sum(axis=1).tolist() == [80, 80]
+
+
 def test_boosting_learns_and_calibrates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 5)).round(1)
