@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat import digest, format_conversations
 from .langid import identify_documents
+from .merkle import prove_documents
 from .mixing import mix_documents
 from .neardup import near_duplicates
 from .packing import pack_documents
@@ -16,6 +17,8 @@ from .pii import find_in_documents
 from .quality import judge
 from .repeats import remove_from_documents
 from .sharding import shard_documents
+from .simhash import group_documents
+from .spelling import group_spellings
 from .topk import top_k
 
 
@@ -71,6 +74,18 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_documents(_table(spark, sf_dir, "documents"), size=3)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prove_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_pack": op2_pack,
@@ -82,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shard": op8_shard,
     "op9_language": op9_language,
     "op10_mix": op10_mix,
+    "op11_simhash": op11_simhash,
+    "op12_spelling": op12_spelling,
+    "op13_merkle": op13_merkle,
 }
 
 _SCORE = "-ln((('0x' || md5(k || '/' || s)[1:13])::BIGINT + 0.5) / 4503599627370496.0)"
@@ -99,6 +117,68 @@ _CRC = """xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT,
 #: what the template adds: marks around each turn, one character for each string it escapes
 _SPECIAL = r"regexp_extract_all({}, '\\|<\|turn\|>|<\|end\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>{}')"
 
+#: levels of 16-ary trees stated in SQL; more than any table has
+_LEVELS = 8
+
+
+def _merkle_sql() -> str:
+    """One WITH clause per level: parents going up, proofs and folds going down one leaf's path."""
+    value = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+    fields = [value.format(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def hashed(text: str) -> str:
+        return "sha256(" + " || ".join([*fields, value.format(text)]) + ")"
+
+    def tree(name: str, key: str) -> list[str]:
+        """Levels {name}0.. of (key, i, n, h), from the table {name}0."""
+        return [f"""{name}{k + 1} AS (
+  SELECT {key}, i // 16 AS i, any_value((n + 15) // 16) AS n, sha256(string_agg(h, '' ORDER BY i)) AS h
+  FROM (SELECT {key}, i, n, h FROM {name}{k}) WHERE n > 1 GROUP BY {key}, i // 16)""" for k in range(_LEVELS)]
+
+    def kin(name: str, key: str) -> list[str]:
+        """Digests left and right of each node in its run."""
+        return [f"""{name}k{k} AS (
+  SELECT {key}, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name}{k} WHERE n > 1 WINDOW w AS (PARTITION BY {key}, i // 16 ORDER BY i))""" for k in range(_LEVELS)]
+
+    def folds(out: str, start: str, name: str, key: str, keep: str) -> list[str]:
+        """Steps {out}1..: the proof so far and the digest, past one level each."""
+        steps = []
+        for k in range(_LEVELS):
+            before = start if k == 0 else f"{out}{k}"
+            steps.append(f"""{out}{k + 1} AS (
+  SELECT {keep}, b.{key}, b.i // 16 AS i, proof || coalesce(s.l || s.r, '') AS proof,
+         CASE WHEN s.i IS NULL THEN now ELSE sha256(s.l || now || s.r) END AS now
+  FROM {before} b LEFT JOIN {name}k{k} s ON s.{key} = b.{key} AND s.i = b.i)""")
+        return steps
+
+    def ends(name: str, key: str) -> str:
+        return " UNION ALL ".join(f"SELECT {key}, h FROM {name}{k} WHERE n = 1" for k in range(_LEVELS + 1))
+
+    parts = [
+        f"""d AS (
+  SELECT doc_id, source, coalesce(strlen(source) || ':' || source, '-') AS tree, {hashed("text")} AS h,
+         coalesce(doc_id::VARCHAR, '') AS x, {hashed(low)} AS low FROM documents)""",
+        f"e AS (SELECT d.*, CASE WHEN doc_id IS NOT NULL AND {_CRC} % 5 = 0 THEN low ELSE h END AS now FROM d, tab)",
+        """t0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h, now) - 1 AS i,
+         count(*) OVER (PARTITION BY tree) AS n FROM e)""",
+        *tree("t", "tree"), *kin("t", "tree"), f"ts AS ({ends('t', 'tree')})",
+        """c0 AS (SELECT '' AS one, tree, ts.h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i,
+         count(*) OVER () AS n FROM ts JOIN (SELECT DISTINCT tree, source FROM e) USING (tree))""",
+        *tree("c", "one"), *kin("c", "one"), f"cs AS ({ends('c', 'one')})",
+        "a0 AS (SELECT t0.doc_id, t0.h AS leaf, tree, i, '' AS proof, now FROM t0)",
+        *folds("a", "a0", "t", "tree", "doc_id, leaf"),
+        f"""b0 AS (SELECT a.doc_id, a.leaf, c0.h AS subroot, '' AS one, c0.i, a.proof, a.now
+  FROM a{_LEVELS} a JOIN c0 ON c0.tree = a.tree)""",
+        *folds("b", "b0", "c", "one", "doc_id, leaf, subroot"),
+    ]
+    return _CRC_TABLE + ",\n" + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, cs.h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = cs.h AS verified
+FROM b{_LEVELS}, cs"""
+
+
 ORACLES: dict[str, str] = {
     "op1_chat_format": f"""
 WITH t AS (
@@ -152,4 +232,29 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
                           doc_id, size, text_crc32) - 1 AS slot,
        grown::INTEGER AS grown_shard
 FROM c JOIN b USING (r)""",
+    "op12_spelling": f"""{_CRC_TABLE},
+r AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+h AS (SELECT low, coalesce(doc_id::VARCHAR, '') || ':' || low AS x FROM r WHERE length(low) >= 6),
+c AS (SELECT low, {_CRC} AS h FROM h, tab),
+o AS (SELECT CASE WHEN h % 199 <> 0 THEN low
+             ELSE substr(low, 1, h % length(low)) || substr(low, h % length(low) + 2) END AS word FROM c),
+v AS (SELECT word, count(*) AS n FROM o WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+y AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM x),
+p AS (
+  SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM y a JOIN y b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT y.word, v.word, v.n FROM y JOIN v ON v.word = y.less
+  UNION SELECT v.word, y.word, y.n FROM y JOIN v ON v.word = y.less),
+g AS (SELECT word, count(*) AS n_near, max(near_n) AS most FROM p GROUP BY word),
+b AS (SELECT word, min(near) AS near, any_value(n_near) AS n_near, any_value(most) AS most
+      FROM p JOIN g USING (word) WHERE near_n = most GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * n THEN near END AS form,
+             CASE WHEN most >= 5 * n THEN most END AS form_n FROM v LEFT JOIN b USING (word)),
+s(word, here, form) AS (
+  SELECT word, word, form FROM f UNION ALL
+  SELECT s.word, s.form, f.form FROM s JOIN f ON f.word = s.form)
+SELECT f.word, f.form, s.here AS root, n, n_near, form_n FROM f JOIN s ON s.word = f.word AND s.form IS NULL""",
+    "op13_merkle": _merkle_sql(),
 }
