@@ -202,7 +202,9 @@ def near_fingerprints(distinct: DataFrame) -> DataFrame:
         heads = keep(index.groupBy("mask", "bits").agg(
             F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"))
         pairs = heads.where("n = 2").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= REACH).select("u", "v")
-        members = index.join(heads.where("n > 2").select("mask", "bits", "n"), ["mask", "bits"])
+        # the keys grow with the documents: they are never broadcast
+        crowds = heads.where("n > 2").select("mask", "bits", "n").hint("shuffle_merge")
+        members = index.join(crowds, ["mask", "bits"])
         few = F.col("n") <= CROWD if half != HALVES[-1] else F.lit(True)
         found = pairs.unionAll(_compare(members.where(few)))
         links = found if links is None else links.unionAll(found)
