@@ -322,28 +322,33 @@ def unit_rows(units: DataFrame) -> DataFrame:
     )
 
 
-def unit_lookup(words_df: DataFrame, units: DataFrame, word="word", lang="lang") -> DataFrame:
-    """Add ``canonical_unit`` to rows of folded words.
+def unit_forms(units: DataFrame) -> DataFrame:
+    """Backend units as ``(_ul, _uf, _canonical)``: one row per language and spoken form.
 
-    The built-in table of the language answers first; other words are looked up
-    in the backend units of that language or of all languages.
+    A neutral row counts for both languages; the last row by name wins a form.
     """
-    builtin = by_language(
-        F.col(lang),
-        lambda t: F.try_element_at(
-            F.expr(map_literal(t.units)), F.col(word)
-        ),
-    )
-    # rows of a language plus the neutral ones; the last row by name wins a form
     table = unit_rows(units).select(
         F.explode(F.when(F.col("lang") == "", F.array(F.lit("en"), F.lit("es")))
                   .otherwise(F.array("lang"))).alias("_ul"), "name", "form", "canonical")
-    one = table.groupBy("_ul", F.col("form").alias("_uf")).agg(
+    return table.groupBy("_ul", F.col("form").alias("_uf")).agg(
         F.max_by("canonical", "name").alias("_canonical"))
+
+
+def builtin_unit(lang: Column, word: Column) -> Column:
+    """The canonical unit of a folded word in the language's own table, or null."""
+    return by_language(lang, lambda t: F.try_element_at(F.expr(map_literal(t.units)), word))
+
+
+def unit_lookup(words_df: DataFrame, units: DataFrame, word="word", lang="lang") -> DataFrame:
+    """Add ``canonical_unit`` to rows of folded words.
+
+    The built-in table of the language answers first; other words are looked up
+    in the backend units of that language or of all languages.
+    """
     row_lang = F.when(F.col(lang) == "es", "es").otherwise("en")
     return (
         words_df.withColumn("_rl", row_lang)
-        .join(one, (F.col("_rl") == F.col("_ul")) & (F.col(word) == F.col("_uf")), "left")
-        .withColumn("canonical_unit", F.coalesce(builtin, "_canonical"))
+        .join(unit_forms(units), (F.col("_rl") == F.col("_ul")) & (F.col(word) == F.col("_uf")), "left")
+        .withColumn("canonical_unit", F.coalesce(builtin_unit(F.col(lang), F.col(word)), "_canonical"))
         .drop("_rl", "_ul", "_uf", "_canonical")
     )

@@ -336,13 +336,13 @@ _CUT = (
 
 
 def split_items(df: DataFrame, text: str = "text", lang: str = "lang",
-                extra_units: list[str] | None = None) -> DataFrame:
+                extra_units: list[str] | None = None, unit_words: str | None = None) -> DataFrame:
     """One row per item of an utterance: adds ``item_no`` and its ``_norm`` text.
 
     Cut at conjunctions outside numbers that are followed by a number and a
     unit, a number and "<word> of", or an article and a unit.
     """
-    df = prepare(with_norm(df, F.col(text), "_text"), "_text", lang, extra_units)
+    df = prepare(with_norm(df, F.col(text), "_text"), "_text", lang, extra_units, unit_words)
     parts = F.split(F.regexp_replace("_S", _CUT, "|"), "\\|")
     df = df.withColumn("_parts", parts)
     # token offsets: items before, plus one dropped conjunction per cut
@@ -362,17 +362,17 @@ def split_items(df: DataFrame, text: str = "text", lang: str = "lang",
 
 def extract_items(df: DataFrame, key: str, text: str = "text", lang: str = "lang",
                   extra_units: list[str] | None = None,
-                  resolver=None) -> DataFrame:
+                  resolver=None, unit_words: str | None = None) -> DataFrame:
     """Every item of an utterance; a later item without location inherits one.
 
     ``resolver`` is applied before inheritance, so the inherited certainty is
     0.9 per hop of the resolved one. Utterances are bounded by one text, so a
     window per utterance stays small.
     """
-    items = split_items(df, text, lang, extra_units)
+    items = split_items(df, text, lang, extra_units, unit_words)
     items = items.withColumn("_norm", F.when(F.col("_norm") == "", "").otherwise(
         F.concat(F.rtrim(F.replace("_norm", F.lit(END), F.lit(","))), F.lit(","))))
-    items = _slots(prepare(items, "_norm", lang, extra_units))
+    items = _slots(prepare(items, "_norm", lang, extra_units, unit_words))
     if resolver is not None:
         items = resolver(items)
     p = F.col("parse")

@@ -20,6 +20,7 @@ from tallyline.operators import extraction as ex
 from tallyline.operators import frames as fr
 from tallyline.operators import records as rec
 from tallyline.operators import review as rv
+from tallyline.operators import vocabulary as voc
 from tallyline.operators.resolve import match_texts, reference_keys, resolve, resolve_parse
 from tallyline.operators.tokens import tokenize as tokenize_text
 from tallyline.plans.corpus import (
@@ -754,6 +755,40 @@ def document_extract(spark, d):
     return p.where("(quantity IS NULL OR quantity >= 0) AND cert_quantity BETWEEN 0 AND 1").select("doc_id")
 
 
+def _letters(n):
+    """A number in letters, so that no token scanner takes it for a code."""
+    return F.translate(n.cast("string"), "0123456789", "bcdfghklmn")
+
+
+_BACKEND_SQL = """u AS (
+  SELECT o_orderkey AS k, o_orderkey % 7 = 6 AS es, p_partkey % 3 AS spoken_in, o_orderkey % 40 + 2 AS n,
+    translate(p_partkey::VARCHAR, '0123456789', 'bcdfghklmn') AS letters, o_orderkey % 2 = 0 AS by_name
+  FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)),
+w AS (SELECT *, CASE WHEN by_name THEN 'zu' ELSE 'za' END || letters AS word,
+    spoken_in = 0 OR (spoken_in = 1) = NOT es AS known FROM u)"""
+
+
+@query("WITH " + _BACKEND_SQL + """
+SELECT k, n::DOUBLE AS quantity, CASE WHEN known THEN word END AS unit,
+  CASE WHEN known THEN 'zu' || letters END AS canonical_unit,
+  CASE WHEN known THEN 'connectors' ELSE word || ' connectors' END AS item FROM w""")
+def backend_units(spark, d):
+    """Every part names a unit with an alias, in one language or both; every order says one."""
+    j = dealt(orders_with_parts(spark, d), "o_orderkey")
+    k, letters = F.col("o_orderkey"), _letters(F.col("p_partkey"))
+    word = F.concat(F.when(k % 2 == 0, "zu").otherwise("za"), letters)
+    said = j.select(k.alias("k"), F.when(k % 7 == 6, "es").otherwise("en").alias("lang"),
+                    F.concat((k % 40 + 2).cast("string"), F.lit(" "), word, F.lit(" connectors")).alias("text"))
+    p = table(spark, d, "part")
+    own = _letters(F.col("p_partkey"))
+    units = p.select(
+        F.concat(F.lit(" Z\u00da"), own).alias("name"), F.array(F.concat(F.lit("ZA"), own), F.lit(" ")).alias("aliases"),
+        F.when(F.col("p_partkey") % 3 == 1, "en").when(F.col("p_partkey") % 3 == 2, "es").otherwise("").alias("language"))
+    out = voc.extract_with_units(said, units, "k")
+    return out.select("k", F.col("parse.quantity").alias("quantity"), F.col("parse.unit").alias("unit"),
+                      "canonical_unit", F.col("parse.item_text").alias("item"))
+
+
 @query("""SELECT l.word, count(*) AS n, CASE WHEN l.word IN ('boxes', 'box') THEN 'box'
   WHEN l.word = 'skids' THEN 'skid' END AS canonical_unit FROM (
   SELECT unnest(['boxes', 'skids', p_name]) AS word FROM part) l GROUP BY l.word""")
@@ -1019,10 +1054,57 @@ def stream_ingest(spark, d):
     return ingest.current_records(accepted, voids).select("k", "status")
 
 
+def _in_three_pushes(df, at="captured_at"):
+    """Which of three pushes brings a row, by its year."""
+    return df.withColumn("push", F.when(F.year(at) < 1994, 0).when(F.year(at) < 1997, 1).otherwise(2))
+
+
+@query("""SELECT k, outcome, count(*) AS n FROM (
+    SELECT k, CASE WHEN k % 31 = 0 AND year(captured_at) < 1994 AND captured_at <= w THEN 'late' ELSE 'accepted' END AS outcome
+    FROM obs, (SELECT max(captured_at) - INTERVAL 2 DAY AS w FROM obs WHERE year(captured_at) < 1997
+               AND NOT (k % 31 = 0 AND year(captured_at) < 1994)))
+  GROUP BY k, outcome""", obs=True)
+def bounded_ingest(spark, d):
+    """Orders pushed in three parts: a seventh is sent twice in its part, some of the first come with the last."""
+    root = f"{shared_dir(spark)}/bounded-{uuid.uuid4().hex}"
+    rows = _in_three_pushes(observations(spark, d))
+    held = (F.col("k") % 31 == 0) & (F.col("push") == 0)
+    sent = rows.withColumn("push", F.when(held, 2).otherwise(F.col("push")))
+    sent = cut_lineage(sent.unionAll(sent.where("k % 7 = 0")))
+    arrived = sent.drop("push")
+    for push in range(3):
+        sent.where(F.col("push") == push).drop("push").write.parquet(f"{root}/inbox/push-{push}")
+        stream = spark.readStream.schema(arrived.schema).parquet(f"{root}/inbox/*")
+        ingest.run_bounded_ingest(stream, root, f"{root}/checkpoint", "2 days")
+    accepted, rejected = ingest.read_logs(spark, root, arrived.schema)
+    late = ingest.late_rows(arrived, accepted, rejected)
+    outcome = accepted.select("k", F.lit("accepted").alias("outcome")).unionAll(late.select("k", F.lit("late")))
+    return outcome.groupBy("k", "outcome").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT k, captured_at + to_minutes((k % 120)::INT) AS edited_at, captured_at + INTERVAL 1 HOUR AS acked_at
+  FROM obs WHERE k % 4 = 0 AND status = 'rejected' AND k % 120 <= 60""", obs=True)
+def in_flight_voids(spark, d):
+    """Every fourth record is pushed when captured and acknowledged an hour later; rejections come up to two hours on."""
+    root = f"{shared_dir(spark)}/inflight-{uuid.uuid4().hex}"
+    records = observations(spark, d).select("id", "status", "captured_at", "k")
+    later = F.make_dt_interval(mins=(F.col("k") % 120).cast("int"))
+    acks = records.where("k % 4 = 0").select(
+        "id", F.col("captured_at").alias("sent_at"), (F.col("captured_at") + F.expr("INTERVAL 1 HOUR")).alias("acked_at"))
+    edits = records.select("id", "status", (F.col("captured_at") + later).alias("edited_at"))
+    acks.write.parquet(f"{root}/acks")
+    edits.write.parquet(f"{root}/edits")
+    ingest.run_in_flight(
+        spark.readStream.schema(acks.schema).parquet(f"{root}/acks"),
+        spark.readStream.schema(edits.schema).parquet(f"{root}/edits"), root, f"{root}/checkpoint")
+    found = ingest.read_voids(spark, root)
+    return found.join(records.select("id", "k"), "id").select("k", "edited_at", "acked_at")
+
+
 @query("""SELECT device_id, min(captured_at) AS "start", max(captured_at) + INTERVAL 30 MINUTE AS "end", count(*) AS n
   FROM (SELECT *, sum(fresh) OVER (PARTITION BY device_id ORDER BY captured_at, k) AS shift
     FROM (SELECT *, CASE WHEN captured_at - lag(captured_at) OVER (PARTITION BY device_id ORDER BY captured_at, k)
-      < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM obs)) GROUP BY device_id, shift""", obs=True)
+      <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM obs)) GROUP BY device_id, shift""", obs=True)
 def shift_summary(spark, d):
     return an.shift_summary(observations(spark, d))
 
