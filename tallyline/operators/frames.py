@@ -104,71 +104,101 @@ def frame_features(clips: DataFrame, rate: int = RATE, high_pass_hz: float = 0.0
         zero_crossing_rate(F.col("s")).alias("zcr"))
 
 
-def _trimmed(s: Column, utter: Column, silence: Column, size: int, keep: int) -> Column:
+class OnColumns:
+    """What the detector's rule needs, on columns: a fold over the frames of a clip."""
+
+    missing = staticmethod(lambda a: a.isNull())
+    no = staticmethod(lambda a: ~a)
+    first = staticmethod(lambda a, b: F.coalesce(a, b))
+    when = staticmethod(lambda c, a, b: F.when(c, a).otherwise(b))
+    least = staticmethod(lambda a, b: F.least(a, F.lit(b)))
+    greatest = staticmethod(lambda a, b: F.greatest(a, F.lit(b)))
+    # a value used more than once is computed once
+    let = staticmethod(lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0)))
+
+
+class OnValues:
+    """The same on plain values: one frame after the other of a stream."""
+
+    missing = staticmethod(lambda a: a is None)
+    no = staticmethod(lambda a: not a)
+    first = staticmethod(lambda a, b: b if a is None else a)
+    when = staticmethod(lambda c, a, b: a if c else b)
+    least, greatest = min, max
+    let = staticmethod(lambda value, use: use(value))
+
+
+def trimmed(op, utter, silence, size: int, keep: int):
     """Length of an utterance without its trailing silence beyond the hangover."""
     quiet = silence * size
     cut = quiet - keep
-    return F.when((quiet <= keep) | (cut >= utter), utter).otherwise(utter - cut)
+    return op.when((quiet <= keep) | (cut >= utter), utter, utter - cut)
 
 
-def segment_step(rate: int, cfg: dict):
-    """State change of the activity detector for one frame ``{rms, zcr}``.
+def detect(op, s, x, rate: int, cfg: dict, done):
+    """The activity detector's rule for one frame ``{rms, zcr}``, on columns or on values.
 
     State: adaptive floor, speech and silence runs, buffered pre-roll length,
-    utterance length and start, finished segments. Lengths are in samples.
+    utterance length and end of the frames so far. Lengths are in samples.
+    ``done`` takes the changed state and, with ``closes``, the finished segment.
     """
     size = rate * FRAME_MS // 1000
     pre_max = rate * cfg["pre_roll_ms"] // 1000
     longest = rate * cfg["max_utterance_ms"] // 1000
     keep = rate * cfg["hangover_ms"] // 1000
+    level, zcr, speaking = x["rms"], x["zcr"], s["speaking"]
+    rise = op.when(speaking, cfg["rise_speech"], cfg["rise_idle"])
+    known = op.first(s["floor"], level)
+    floor = op.when(op.missing(s["floor"]), op.least(level, cfg["min_rms"]), op.when(
+        level < known, level, known + (level - known) * rise))
+
+    def rest(floor):
+        loud = level >= op.greatest(floor * cfg["ratio"], cfg["min_rms"])
+        return op.let(loud & (zcr <= cfg["max_zcr"]) & (zcr >= cfg["min_zcr"]), lambda speech: move(floor, speech))
+
+    def move(floor, speech):
+        end = s["at"] + size
+        # idle: buffer the pre-roll, count speech frames
+        pre = op.least(s["pre"] + size, pre_max)
+        run = op.when(speech, s["run"] + 1, 0)
+        starts = op.no(speaking) & (run >= cfg["start_frames"])
+        # speaking: grow, count silence, close on silence or length
+        utter = s["utter"] + size
+        silence = op.when(speech, 0, s["silence"] + 1)
+        quiet = speaking & (silence * FRAME_MS >= cfg["end_silence_ms"])
+        capped = speaking & op.no(quiet) & (utter >= longest)
+        closes = quiet | capped
+        start = end - utter
+        return done({
+            "floor": floor, "speaking": (speaking & op.no(closes)) | starts,
+            "run": op.when(speaking, op.when(closes, 0, s["run"]), run),
+            "silence": op.when(closes | starts, 0, op.when(speaking, silence, s["silence"])),
+            "pre": op.when(speaking | starts, 0, pre),
+            "utter": op.when(starts, pre, op.when(speaking & op.no(closes), utter, 0)),
+            "at": end,
+        }, closes, (start, start + trimmed(op, utter, silence, size, keep), capped))
+
+    return op.let(floor, rest)
+
+
+#: state of the detector ahead of the first frame, and the types it keeps
+IDLE = {"floor": None, "speaking": False, "run": 0, "silence": 0, "pre": 0, "utter": 0, "at": 0}
+STATE = {"floor": "double", "speaking": "boolean", "run": "int", "silence": "int", "pre": "long", "utter": "long",
+         "at": "long"}
+
 
+def segment_step(rate: int, cfg: dict):
+    """State change of ``detect`` as a fold that also collects the finished segments."""
     def step(s: Column, x: Column) -> Column:
-        level, zcr = x["rms"], x["zcr"]
-        rise = F.when(s["speaking"], cfg["rise_speech"]).otherwise(cfg["rise_idle"])
-        floor = (
-            F.when(s["floor"].isNull(), F.least(level, F.lit(cfg["min_rms"])))
-            .when(level < s["floor"], level).otherwise(s["floor"] + (level - s["floor"]) * rise)
-        )
-
-        def rest(v: Column) -> Column:
-            loud = level >= F.greatest(v["floor"] * cfg["ratio"], F.lit(cfg["min_rms"]))
-            speech = loud & (zcr <= cfg["max_zcr"]) & (zcr >= cfg["min_zcr"])
-            end = s["at"] + size
-
-            def move(w: Column) -> Column:
-                # idle: buffer the pre-roll, count speech frames
-                pre = F.least(s["pre"] + size, F.lit(pre_max))
-                run = F.when(w["speech"], s["run"] + 1).otherwise(0)
-                starts = ~s["speaking"] & (run >= cfg["start_frames"])
-                # speaking: grow, count silence, close on silence or length
-                utter = s["utter"] + size
-                silence = F.when(w["speech"], 0).otherwise(s["silence"] + 1)
-                quiet = s["speaking"] & (silence * FRAME_MS >= cfg["end_silence_ms"])
-                capped = s["speaking"] & ~quiet & (utter >= longest)
-                closes = quiet | capped
-                segment = F.array(F.struct(
-                    (end - utter).cast("long").alias("start_sample"),
-                    (end - utter + _trimmed(s, utter, silence, size, keep)).cast("long").alias(
-                        "end_sample"),
-                    capped.alias("truncated")))
-                speaking = (s["speaking"] & ~closes) | starts
-                return F.struct(
-                    v["floor"].alias("floor"), speaking.alias("speaking"),
-                    F.when(s["speaking"], F.when(closes, 0).otherwise(s["run"])).otherwise(run).cast(
-                        "int").alias("run"),
-                    F.when(closes | starts, 0).when(s["speaking"], silence).otherwise(
-                        s["silence"]).cast("int").alias("silence"),
-                    F.when(s["speaking"] | starts, 0).otherwise(pre).cast("long").alias("pre"),
-                    F.when(starts, pre).when(s["speaking"] & ~closes, utter).otherwise(0).cast(
-                        "long").alias("utter"),
-                    end.cast("long").alias("at"),
-                    F.when(closes, F.concat(s["segments"], segment)).otherwise(
-                        s["segments"]).alias("segments"),
-                )
-
-            return F.get(F.transform(F.array(F.struct(speech.alias("speech"))), move), F.lit(0))
-
-        return F.get(F.transform(F.array(F.struct(floor.alias("floor"))), rest), F.lit(0))
+        def done(state: dict, closes: Column, segment: tuple) -> Column:
+            start, end, capped = segment
+            found = F.array(F.struct(start.cast("long").alias("start_sample"), end.cast("long").alias("end_sample"),
+                                     capped.alias("truncated")))
+            return F.struct(
+                *[state[n].cast(t).alias(n) for n, t in STATE.items()],
+                F.when(closes, F.concat(s["segments"], found)).otherwise(s["segments"]).alias("segments"))
+
+        return detect(OnColumns, s, x, rate, cfg, done)
 
     return step
 
@@ -191,16 +221,13 @@ def vad_segments(frames: DataFrame, rate: int = RATE, cfg: dict | None = None,
     cfg = {**VAD, **(cfg or {})}
     size = rate * FRAME_MS // 1000
     keep = rate * cfg["hangover_ms"] // 1000
-    start = F.struct(
-        F.lit(None).cast("double").alias("floor"), F.lit(False).alias("speaking"),
-        F.lit(0).alias("run"), F.lit(0).alias("silence"), F.lit(0).cast("long").alias("pre"),
-        F.lit(0).cast("long").alias("utter"), F.lit(0).cast("long").alias("at"),
-        F.array().cast(f"array<{SEGMENT}>").alias("segments"))
+    start = F.struct(*[F.lit(IDLE[n]).cast(t).alias(n) for n, t in STATE.items()],
+                     F.array().cast(f"array<{SEGMENT}>").alias("segments"))
 
     def finish(s: Column) -> Column:
         open_end = F.array(F.struct(
             (s["at"] - s["utter"]).alias("start_sample"),
-            (s["at"] - s["utter"] + _trimmed(s, s["utter"] + F.col("tail_samples"), s["silence"], size, keep)).cast(
+            (s["at"] - s["utter"] + trimmed(OnColumns, s["utter"] + F.col("tail_samples"), s["silence"], size, keep)).cast(
                 "long").alias("end_sample"),
             F.lit(False).alias("truncated")))
         return F.when(F.lit(flush) & s["speaking"] & (s["utter"] > 0),

@@ -28,7 +28,7 @@ from tallyline.plans.corpus import (
     orders_with_parts, part_dimension, table, utterances,
 )
 from tallyline.session import cut_lineage, shared_dir
-from tallyline.streaming import ingest
+from tallyline.streaming import ingest, segments
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -1021,16 +1021,64 @@ def _frames(spark, d):
         .otherwise(F.lit(0.002)).alias("rms"), F.lit(0.1).alias("zcr"))
 
 
-@query()
+#: the detector's rule frame by frame, all clips at once; one row per frame with what it closes
+_VAD_SQL = """WITH RECURSIVE f AS (
+  SELECT event_id // 500 AS clip_id, row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id) AS p,
+    CASE WHEN event_id // 20 % 4 < 2 THEN value / 100 + 0.05::DOUBLE ELSE 0.002::DOUBLE END AS rms, 0.1::DOUBLE AS zcr
+  FROM events),
+r(clip_id, p, floor, speaking, run, silence, pre, utter, here, closes, s0, s1, truncated) AS (
+  SELECT DISTINCT clip_id, 0::BIGINT, NULL::DOUBLE, false, 0, 0, 0, 0, 0, false, 0, 0, false FROM f
+  UNION ALL
+  SELECT clip_id, p, fl, (speaking AND NOT ends) OR begins,
+    CASE WHEN NOT speaking THEN nrun WHEN ends THEN 0 ELSE run END,
+    CASE WHEN ends OR begins THEN 0 WHEN speaking THEN quiet ELSE silence END,
+    CASE WHEN speaking OR begins THEN 0 ELSE npre END,
+    CASE WHEN begins THEN npre WHEN speaking AND NOT ends THEN nutter ELSE 0 END, here + 480, ends,
+    here + 480 - nutter, here + 480 - CASE WHEN quiet * 480 <= 1920 OR quiet * 480 - 1920 >= nutter THEN 0
+      ELSE quiet * 480 - 1920 END, capped
+  FROM (SELECT *, still OR capped AS ends FROM (SELECT *, speaking AND NOT still AND nutter >= 480000 AS capped
+    FROM (SELECT *, NOT speaking AND nrun >= 3 AS begins, speaking AND quiet * 30 >= 700 AS still
+    FROM (SELECT *, CASE WHEN speech THEN run + 1 ELSE 0 END AS nrun, CASE WHEN speech THEN 0 ELSE silence + 1 END AS quiet
+    FROM (SELECT *, rms >= greatest(fl * 2.5::DOUBLE, 0.010::DOUBLE) AND zcr <= 0.35 AND zcr >= 0.02 AS speech
+    FROM (SELECT r.clip_id, f.p, rms, zcr, speaking, run, silence, here, least(pre + 480, 4800) AS npre, utter + 480 AS nutter,
+      CASE WHEN floor IS NULL THEN least(rms, 0.010::DOUBLE) WHEN rms < floor THEN rms
+        ELSE floor + (rms - floor) * CASE WHEN speaking THEN 0.0005::DOUBLE ELSE 0.004::DOUBLE END END AS fl
+      FROM r JOIN f ON f.clip_id = r.clip_id AND f.p = r.p + 1))))))),
+g AS (
+  SELECT clip_id, p, s0, s1, truncated FROM r WHERE closes UNION ALL
+  SELECT clip_id, p + 1, here - utter, here - CASE WHEN silence * 480 <= 1920 OR silence * 480 - 1920 >= utter THEN 0
+    ELSE silence * 480 - 1920 END, false
+  FROM r WHERE speaking AND utter > 0 AND p = (SELECT max(p) FROM f WHERE f.clip_id = r.clip_id))
+"""
+_SEGMENT_ROWS = """SELECT clip_id, (row_number() OVER (PARTITION BY clip_id ORDER BY p) - 1)::INTEGER AS utt_no,
+  s0::BIGINT AS start_sample, s1::BIGINT AS end_sample, truncated FROM g"""
+
+
+@query(_VAD_SQL + _SEGMENT_ROWS)
 def vad_segments(spark, d):
     return fr.vad_segments(_frames(spark, d))
 
 
-@query()
+@query(_VAD_SQL + "SELECT clip_id, sum(s1 - s0)::BIGINT AS speech_samples FROM g GROUP BY clip_id")
 def vad_trimmed(spark, d):
     return fr.trimmed_length(fr.vad_segments(_frames(spark, d)))
 
 
+@query(_VAD_SQL + _SEGMENT_ROWS)
+def vad_stream(spark, d):
+    """The frames as two pushes that part every recording at frame 237; a late heartbeat ends what is open."""
+    root = f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}"
+    place = F.col("frame_no") % 500
+    frames = _frames(spark, d).withColumn("at", F.timestamp_millis((946684800000 + place * 30).cast("long")))
+    heartbeat = spark.range(1).select(
+        F.lit(-1).cast("long").alias("clip_id"), F.lit(499).cast("long").alias("frame_no"), F.lit(0.0).alias("rms"),
+        F.lit(0.1).alias("zcr"), F.timestamp_seconds(F.lit(946688400)).alias("at"))
+    for n, push in enumerate((frames.where(place < 237), frames.where(place >= 237).unionByName(heartbeat))):
+        push.write.parquet(f"{root}/frames/push-{n}")
+        segments.run_segments(spark.readStream.schema(push.schema).parquet(f"{root}/frames/*"), root, f"{root}/checkpoint")
+    return segments.read_segments(spark, root)
+
+
 @query("""SELECT o_orderkey AS k, status FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'rejected'
   WHEN o_orderstatus = 'O' THEN 'draft' WHEN o_orderstatus = 'P' THEN 'confirmed' ELSE 'synced' END AS status
   FROM orders) WHERE o_orderkey % 23 <> 0 AND o_orderkey % 29 <> 0""")
