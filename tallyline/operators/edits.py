@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.text import format_quantity, trim_space
-from tallyline.operators.extraction import location_value, quantity_value
-from tallyline.operators.resolve import resolve
-from tallyline.operators.review import edit_reasons, with_profile
+from tallyline.operators.extraction import extract, location_value, quantity_value
+from tallyline.operators.resolve import has_rows, resolve, resolve_parse
+from tallyline.operators.review import capture_reasons, confidence, edit_reasons, with_profile
+from tallyline.session import cut_lineage
 
 
-def apply_edits(records: DataFrame, edits: DataFrame, locations: DataFrame, parts: DataFrame,
-                profiles: DataFrame | None = None) -> DataFrame:
-    """Outcome of one edit ``(id, field, value, at)`` per record.
-
-    Adds ``outcome``, the edited ``parsed`` and ``confidence``, the
-    ``correction`` to log and the review state. Edited confidence is not
-    multiplied by speech confidence.
-    """
-    e = edits.join(records.select(
-        "id", "device_id", "language", "status", "parsed", "confidence"), "id", "left")
+def _understand(e: DataFrame, locations: DataFrame, parts: DataFrame) -> DataFrame:
+    """Add what the typed or spoken ``value`` of each edit says: text, id and score of its field."""
     e = e.withColumns({"_lang": F.coalesce("language", F.lit("en")),
                        "_trim": trim_space(F.coalesce("value", F.lit("")))})
     e = e.withColumns({
@@ -32,16 +25,32 @@ def apply_edits(records: DataFrame, edits: DataFrame, locations: DataFrame, part
     e = quantity_value(e, "_qv", "_lang", "_q")
     e = resolve(e.withColumn("_lt0", F.coalesce("_lt", F.lit(""))), "_lt0", locations, "id",
                 "_lid", "_ls", code=True)
-    e = resolve(e, "_iv", parts, "part_number", "_pid", "_ps", code=False)
-    field, p, c = F.col("field"), F.col("parsed"), F.col("confidence")
-    understood = (
+    return resolve(e, "_iv", parts, "part_number", "_pid", "_ps", code=False)
+
+
+def _understood(field: Column) -> Column:
+    return (
         F.when(field == "location", F.coalesce("_lt", F.lit("")) != "")
         .when(field == "quantity", F.col("_q").isNotNull())
         .when(field.isin("unit", "item"), F.col("_trim") != "")
         .otherwise(field == "description")
     )
+
+
+def apply_edits(records: DataFrame, edits: DataFrame, locations: DataFrame, parts: DataFrame,
+                profiles: DataFrame | None = None) -> DataFrame:
+    """Outcome of one edit ``(id, field, value, at)`` per record.
+
+    Adds ``outcome``, the edited ``parsed`` and ``confidence``, the
+    ``correction`` to log and the review state. Edited confidence is not
+    multiplied by speech confidence.
+    """
+    e = edits.join(records.select(
+        "id", "device_id", "language", "status", "parsed", "confidence"), "id", "left")
+    e = _understand(e, locations, parts)
+    field, p, c = F.col("field"), F.col("parsed"), F.col("confidence")
     outcome = (
-        F.when(p.isNull(), "not_found").when(~understood, "not_understood")
+        F.when(p.isNull(), "not_found").when(~_understood(field), "not_understood")
         .when(~F.col("status").isin("draft", "confirmed"), "immutable").otherwise("applied")
     )
     unit = F.lower("_trim")
@@ -88,6 +97,126 @@ def apply_edits(records: DataFrame, edits: DataFrame, locations: DataFrame, part
         *keep, "review_reasons", "needs_review")
 
 
+# --- several edits of one record ---------------------------------------------
+
+#: the field name of an edit whose value is a new utterance of the whole record
+DICTATION = "dictation"
+_SAID = ("location_text", "location_id", "quantity", "unit", "item_text", "part_number", "description")
+#: what each field's edit replaces
+_REPLACES = {"location": ("location_text", "location_id"), "quantity": ("quantity",), "unit": ("unit",),
+             "item": ("item_text", "part_number"), "description": ("description",)}
+
+
+def _effects(e: DataFrame, locations: DataFrame, parts: DataFrame) -> DataFrame:
+    """What each edit says, whatever its record holds: ``(id, edit)``.
+
+    Texts are parsed and resolved here, once for all edits; folding them needs no more than this.
+    """
+    typed = _understand(e.where(F.col("field") != DICTATION), locations, parts)
+    score = {"location": F.coalesce("_ls", F.lit(0.9)), "quantity": F.when(F.col("_q_approx"), 0.5).otherwise(0.95),
+             "item": F.coalesce("_ps", F.lit(0.9))}
+    none = F.lit(None)
+
+    def edit(ok: Column, said: list[Column], sure: list[Column], vague: Column) -> Column:
+        types = ["string", "string", "double", "string", "string", "string", "string"]
+        return F.struct(
+            "at", "pos", "field", ok.alias("ok"),
+            F.struct(*[v.cast(t).alias(n) for n, v, t in zip(_SAID, said, types)]).alias("said"),
+            F.struct(*[v.cast("double").alias(n) for n, v in zip(("asr", "quantity", "location", "item"), sure)]).alias(
+                "sure"), vague.alias("vague")).alias("edit")
+
+    short = typed.select("id", edit(
+        F.coalesce(_understood(F.col("field")), F.lit(False)),
+        [F.col("_lt"), F.col("_lid"), F.col("_q"), F.lower("_trim"), F.col("_trim"), F.col("_pid"),
+         F.when(F.col("_trim") != "", F.col("_trim"))],
+        [none, score["quantity"], score["location"], score["item"]], F.lit(False)))
+    spoken = e.where(F.col("field") == DICTATION).select(
+        "id", "at", "pos", "field", F.coalesce("language", F.lit("en")).alias("lang"),
+        F.coalesce("value", F.lit("")).alias("text"), F.coalesce("asr_confidence", F.lit(1.0)).alias("asr"))
+    heard = resolve_parse(extract(spoken), locations, parts)
+    p = F.col("parse")
+    sure = confidence(p["cert_quantity"], p["cert_location"], p["cert_item"], F.col("asr"))
+    whole = heard.withColumn("_c", sure).select("id", edit(
+        F.lit(True), [p[n] for n in _SAID], [F.col("_c")[n] for n in ("asr", "quantity", "location", "item")],
+        p["quantity_vague"]))
+    return short.unionAll(whole)
+
+
+def _fold(s: Column, e: Column, mutable: Column) -> Column:
+    """The record after one more edit: it sees what earlier ones left."""
+    p, c, field = s["parsed"], s["confidence"], e["field"]
+    whole = field == DICTATION
+    new, sure = p, c
+    for name in _SAID:
+        by = [f for f, names in _REPLACES.items() if name in names]
+        new = new.withField(name, F.when(whole | field.isin(*by), e["said"][name]).otherwise(p[name]))
+    for name in ("asr", "quantity", "location", "item"):
+        sure = sure.withField(name, F.when(whole | (field == name), e["sure"][name]).otherwise(c[name]))
+
+    def shown(v: Column, name: str) -> Column:
+        return {"location": v["location_text"], "quantity": format_quantity(v["quantity"]),
+                "item": v["item_text"]}.get(name, F.coalesce(v[name], F.lit(""))
+                                            if name in ("unit", "description") else None)
+
+    def change(name: str) -> Column:
+        return F.struct(F.lit(name).alias("field"), shown(p, name).alias("from"), shown(e["said"], name).alias("to"),
+                        e["at"].alias("at"))
+
+    # an edit is always logged, a new dictation only where it says something else
+    spoken = F.filter(F.array(*map(change, ("item", "quantity", "location"))), lambda x: x["from"] != x["to"])
+    typed = F.filter(F.array(*map(change, _REPLACES)), lambda x: x["field"] == field)
+    outcome = F.when(~e["ok"], "not_understood").when(~mutable, "immutable").otherwise("applied")
+    return F.get(F.transform(F.array(outcome), lambda o: F.struct(
+        F.when(o == "applied", new).otherwise(p).alias("parsed"),
+        F.when(o == "applied", sure).otherwise(c).alias("confidence"),
+        F.when(o == "applied", F.concat(s["corrections"], F.when(whole, spoken).otherwise(typed))).otherwise(
+            s["corrections"]).alias("corrections"),
+        F.concat(s["outcomes"], F.array(o)).alias("outcomes"),
+        F.when(o == "applied", whole).otherwise(s["dictated"]).alias("dictated"),
+        F.when(o == "applied", e["vague"]).otherwise(s["vague"]).alias("vague"))), F.lit(0))
+
+
+def apply_edit_log(records: DataFrame, edits: DataFrame, locations: DataFrame, parts: DataFrame,
+                   profiles: DataFrame | None = None) -> DataFrame:
+    """Records after all of their edits ``(id, field, value, at, pos, asr_confidence)``, in order of ``(at, pos)``.
+
+    A record's edits are folded over the whole record, so each sees what the one before left: the
+    log's ``from`` is the value then, and a ``dictation`` replaces all fields and all confidence. Texts
+    are parsed and resolved before the fold, in one pass over all edits. A record's
+    edits are bounded by what a person makes; nothing else is gathered.
+
+    Gives one row per edited id: ``id``, ``outcomes`` (one per edit), ``corrections`` to log, and the
+    record's ``parsed``, ``confidence``, ``review_reasons`` and ``needs_review`` after the last edit. Reasons
+    follow the rules of a capture if a dictation came last, else those of an edit. An id without a
+    record has outcome ``not_found`` per edit and nulls.
+    """
+    of_record = records.select("id", "device_id", "status", "language", "parsed", "confidence", "review_reasons",
+                               "needs_review")
+    known = edits.join(of_record.select("id", "language"), "id", "left")
+    order = F.array_sort(F.collect_list("edit"))  # by at, then pos
+    # written once: the parse is a long plan, and the fold need not be planned again with it
+    found = (cut_lineage(_effects(known, locations, parts)).groupBy("id").agg(order.alias("edits"))
+             .join(of_record, "id", "left"))
+    log = F.array().cast("array<struct<field:string,from:string,to:string,at:timestamp>>")
+    start = F.struct("parsed", "confidence", log.alias("corrections"), F.array().cast("array<string>").alias("outcomes"),
+                     F.lit(False).alias("dictated"), F.lit(False).alias("vague"))
+    mutable = F.col("status").isin("draft", "confirmed")
+    folded = F.when(F.col("status").isNotNull(), F.aggregate("edits", start, lambda s, e: _fold(s, e, mutable)))
+    df = with_profile(found.withColumn("_s", folded), profiles)
+    s = F.col("_s")
+    p, c = s["parsed"], s["confidence"]
+    reasons = F.when(~F.array_contains(s["outcomes"], "applied"), F.col("review_reasons")).when(
+        s["dictated"], capture_reasons(p, c, s["vague"], F.lit(False), has_rows(locations), has_rows(parts))
+    ).otherwise(edit_reasons(p, c))
+    df = df.withColumn("_reasons", F.when(s.isNotNull(), reasons))
+    return df.select(
+        "id", F.coalesce(s["outcomes"], F.transform("edits", lambda e: F.lit("not_found"))).alias("outcomes"),
+        s["corrections"].alias("corrections"), p.alias("parsed"), c.alias("confidence"),
+        F.col("_reasons").alias("review_reasons"),
+        F.when(F.array_contains(s["outcomes"], "applied"), F.size("_reasons") > 0).otherwise(
+            F.col("needs_review")).alias("needs_review"))
+
+
 def redictation_log(old: DataFrame, new: DataFrame) -> DataFrame:
     """Corrections a new dictation of the same record implies, one row per change.
 

@@ -961,6 +961,55 @@ def apply_edits(spark, d):
     return out.select("id", "field", "outcome", F.col("correction.to").alias("to_value"))
 
 
+@query("""SELECT id,
+    CASE WHEN m THEN concat_ws(',', 'applied', CASE WHEN d THEN 'applied' END, 'applied', CASE WHEN k % 4 = 0 THEN 'applied' END,
+      CASE WHEN k % 5 = 0 THEN 'not_understood' END)
+    ELSE concat_ws(',', 'immutable', CASE WHEN d THEN 'immutable' END, 'immutable', CASE WHEN k % 4 = 0 THEN 'immutable' END,
+      CASE WHEN k % 5 = 0 THEN 'not_understood' END) END AS outcomes,
+    CASE WHEN m THEN concat_ws(';', 'item:' || item_text || '>qq ' || (k % 30),
+      CASE WHEN d THEN 'item:qq ' || (k % 30) || '>widgets' END,
+      CASE WHEN d AND quantity IS DISTINCT FROM 12 THEN 'quantity:' || q || '>12' END,
+      CASE WHEN d AND location_text <> 'A-14' THEN 'location:' || location_text || '>A-14' END,
+      'quantity:' || CASE WHEN d THEN '12' ELSE q END || '>15', CASE WHEN k % 4 = 0 THEN 'quantity:15>20' END)
+    ELSE '' END AS log,
+    CASE WHEN NOT m THEN item_text WHEN d THEN 'widgets' ELSE 'qq ' || (k % 30) END AS item,
+    CASE WHEN NOT m THEN quantity WHEN k % 4 = 0 THEN 20 ELSE 15 END AS quantity,
+    CASE WHEN m AND d THEN 'A-14' ELSE location_text END AS location,
+    CASE WHEN m THEN 0.95 ELSE c_quantity END AS c_quantity, CASE WHEN m AND d THEN 0.9 ELSE c_asr END AS c_asr,
+    CASE WHEN NOT m THEN concat_ws(',', CASE WHEN k % 5 = 0 THEN 'no location spoken' END, CASE WHEN k % 10 = 0 THEN 'no quantity spoken' END)
+      WHEN d THEN '' ELSE concat_ws(',', CASE WHEN location_text = '' THEN 'no location spoken' END,
+        CASE WHEN c_asr > 0 AND c_asr < 0.7 THEN 'low speech confidence' END,
+        CASE WHEN location_text <> '' AND c_location < 0.7 THEN 'low location confidence' END) END AS reasons
+  FROM (SELECT *, status IN ('draft', 'confirmed') AS m, k % 3 = 0 AND k % 8 <> 7 AS d,
+      CASE WHEN quantity IS NULL THEN '' WHEN quantity = floor(quantity) THEN quantity::BIGINT::VARCHAR
+        ELSE quantity::VARCHAR END AS q FROM obs)
+  UNION ALL SELECT 'gone-' || k, 'not_found', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM obs WHERE k % 50 = 0""", obs=True)
+def edit_log(spark, d):
+    """Two to five edits of every record, a new dictation among them, folded in the order they were made."""
+    k = F.col("k")
+    df = observations(spark, d)
+
+    def edit(pos, field, value, where="true", key="id"):
+        return df.where(where).select(
+            F.expr(key).alias("id"), F.lit(field).alias("field"), value.alias("value"), F.col("captured_at").alias("at"),
+            F.lit(pos).alias("pos"), F.lit(0.9).alias("asr_confidence"))
+
+    number = F.when(F.col("language") == "es", "quince").otherwise("fifteen")
+    edits = edit(3, "quantity", number)  # the log comes in any order
+    for more in (edit(1, "item", F.concat(F.lit(" qq "), (k % 30).cast("string"))),
+                 edit(2, "dictation", F.lit("twelve boxes of widgets in bin A-14"), "k % 3 = 0 AND k % 8 <> 7"),
+                 edit(4, "quantity", F.lit("20"), "k % 4 = 0"), edit(5, "location", F.lit("  "), "k % 5 = 0"),
+                 edit(1, "unit", F.lit("reels"), "k % 50 = 0", "concat('gone-', k)")):
+        edits = edits.unionAll(more)
+    out = ed.apply_edit_log(df, edits, location_dimension(spark, d), part_dimension(spark, d))
+    said = F.transform("corrections", lambda x: F.concat(x["field"], F.lit(":"), x["from"], F.lit(">"), x["to"]))
+    return out.select(
+        "id", F.array_join("outcomes", ",").alias("outcomes"), F.array_join(said, ";").alias("log"),
+        F.col("parsed.item_text").alias("item"), F.col("parsed.quantity").alias("quantity"),
+        F.col("parsed.location_text").alias("location"), F.col("confidence.quantity").alias("c_quantity"),
+        F.col("confidence.asr").alias("c_asr"), F.array_join("review_reasons", ",").alias("reasons"))
+
+
 @query("""SELECT id, 'item' AS field, item_text AS from_value, 'new ' || k AS to_value FROM obs
   UNION ALL SELECT id, 'quantity', CASE WHEN quantity IS NULL THEN '' WHEN quantity = floor(quantity)
     THEN quantity::BIGINT::VARCHAR ELSE quantity::VARCHAR END, '7' FROM obs
