@@ -163,9 +163,12 @@ class Mix:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """Words taken of every document at the production weights."""
+    """Words taken of every document at the production weights: what the shards' draws hold of it."""
     plan = Mix(docs, word_count())
-    return plan.taken().select("doc_id", "size", "source_size", "target", "taken")
+    drawn = plan.placed().groupBy("row_id").agg(F.sum("words").alias("drawn"))
+    known = plan.rows.join(plan.sources.withColumnRenamed("source", "named"), F.expr("source <=> named"))
+    return known.join(drawn, "row_id", "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("drawn", F.lit(0)).cast("long").alias("taken"))
 
 
 def first_words(text: str, count: int) -> str:

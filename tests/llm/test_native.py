@@ -105,3 +105,10 @@ def test_mixed_rows_are_the_plan(odd_docs):
     placed = plan.placed().collect()
     assert len({(r.row_id, r["copy"]) for r in placed}) == len(placed)
     assert all(0 <= r.shard < mixing.SHARDS for r in placed)
+
+
+def test_the_mix_is_what_the_tree_draws(docs):
+    """Row by row: the shards' copies of a document hold its whole passes and its part of the last one."""
+    plan = mixing.Mix(docs, mixing.word_count())
+    want = Counter((r.doc_id, r.taken) for r in plan.taken().collect())
+    assert Counter((r.doc_id, r.taken) for r in mixing.mix_documents(docs).collect()) == want
