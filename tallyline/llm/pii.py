@@ -25,8 +25,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +90,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         out += [(a, 0, b) for a, b in _emails(text)]
     if _DIGITS.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            # a part may have thousands of leading zeros
+            parts = [p.lstrip("0") for p in m[0].split(".")]
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             digits = _DIGITS.findall(m[0]) if m.end() - m.start() >= 14 else ()
@@ -329,25 +333,55 @@ def learn(docs: DataFrame, training: int = TRAINING) -> Model:
     return Model(trees, thresholds(counts, PRECISION))
 
 
+class _Covered:
+    """Whether a span meets one of the sorted spans, in logarithmic time."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts = [s[0] for s in spans]
+        self.ends = list(accumulate((s[2] for s in spans), max))  # the furthest end so far
+
+    def meets(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        return i > 0 and self.ends[i - 1] > start
+
+
+class _Chosen:
+    """Spans apart from each other, in order; a new one can only meet its neighbours."""
+
+    def __init__(self):
+        self.spans: list[tuple[int, int, int]] = []
+
+    def add(self, span: tuple[int, int, int]) -> None:
+        i = bisect_left(self.spans, span)
+        apart = (i == 0 or self.spans[i - 1][2] <= span[0]) and (
+            i == len(self.spans) or span[2] <= self.spans[i][0])
+        if apart:
+            self.spans.insert(i, span)
+
+
 def added_spans(texts: list[str], base: list[list[tuple]], model: Model) -> list[list[tuple[int, int, int]]]:
-    """For every text the candidates the model adds to its base spans."""
-    where, spans, rows = [], [], []
+    """For every text the candidates the model adds to its base spans, likeliest first where they overlap."""
+    where, spans, rows, lots = [], [], [], []
     for i, text in enumerate(texts):
+        covered = _Covered(base[i])
         for s in candidates(text):
-            if not any(s[0] < b[2] and b[0] < s[2] for b in base[i]):
+            if not covered.meets(s[0], s[2]):
                 where.append(i)
                 spans.append(s)
                 rows.append(describe(text, s))
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+                if len(rows) == 4096:  # as arrays they take a fraction of the memory
+                    lots.append(np.array(rows))
+                    rows = []
     if rows:
-        x = np.array(rows)
+        lots.append(np.array(rows))
+    out = [_Chosen() for _ in texts]
+    if lots:
+        x = np.concatenate(lots)
         likely = model.trees(x)
         chosen = np.flatnonzero(likely >= model.thresholds[x[:, 0].astype(int)])
         for j in sorted(chosen.tolist(), key=lambda j: (-likely[j], spans[j])):
-            mine, s = out[where[j]], spans[j]
-            if not any(s[0] < o[2] and o[0] < s[2] for o in mine):
-                mine.append(s)
-    return out
+            out[where[j]].add(spans[j])
+    return [o.spans for o in out]
 
 
 def find(docs: DataFrame, model: Model | None, *carry: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from conftest import as_docs
 
-from tallyline.llm import merkle, simhash, spelling
+from tallyline.llm import merkle, pii, simhash, spelling
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -309,3 +310,48 @@ def test_numbers_follow_the_order(spark):
         assert [x for _, x, _ in mine] == sorted(x for t, x in rows if t == name)
         assert {k for _, _, k in mine} == {len(mine)}
 
+
+
+# ---------------------------------------------------------------- personal data
+
+
+class Sure:
+    """A model that takes every candidate."""
+
+    thresholds = np.zeros(4)
+
+    @staticmethod
+    def trees(x):
+        return x[:, 1] / 1000  # longer ones first
+
+
+def brute_added(text, base):
+    out = []
+    for s in sorted(pii.candidates(text), key=lambda s: (-(s[2] - s[0]), s)):
+        if not any(s[0] < o[2] and o[0] < s[2] for o in [*base, *out]):
+            out.append(s)
+    return sorted(out)
+
+
+def test_addresses_with_thousands_of_zeros():
+    for zeros in (3, 5000):
+        text = "0" * zeros + ".1.1.1 and 256.1.1.1"
+        assert pii.base_spans(text) == [(0, 1, zeros + 6)]
+
+
+def test_added_spans_stay_apart():
+    rng = random.Random(8)
+    parts = ["a@b", "me@x.example", "10.0.0.300.7", "1.2.3.4", "4111 1111 1111 1111", "(555) 555-0100", "+1 555 555 0100",
+             "12345678901234567890", "x", "@", ".", "-"]
+    for _ in range(60):
+        text = "".join(rng.choice(parts) + rng.choice([" ", "", ", "]) for _ in range(30))
+        base = pii.base_spans(text)
+        assert pii.added_spans([text], [base], Sure) == [brute_added(text, base)]
+
+
+def test_a_long_text_of_candidates_takes_linear_time():
+    text = "10.0.0.300.7 call (555) 555-0100 or 4111.1111.1111.1112 " * 20_000
+    start = time.time()
+    base = pii.base_spans(text)
+    added, = pii.added_spans([text], [base], Sure)
+    assert len(added) >= 40_000 and time.time() - start < 40
