@@ -469,9 +469,9 @@ def refdata_snapshot(spark, d):
 @query("SELECT part_number AS id, name, name || 's' AS alias FROM parts", parts=True)
 def refdata_explode(spark, d):
     from tallyline.schema import REFDATA
-    # documents of a hundred parts, as one JSON text each
+    # documents of at most a hundred parts (numbers with equal leading digits), as one JSON text each
     parts = part_dimension(spark, d)
-    docs = parts.groupBy(F.pmod(F.xxhash64("part_number"), F.lit(64)).alias("g")).agg(
+    docs = parts.groupBy(F.expr("left(part_number, length(part_number) - 2)").alias("g")).agg(
         F.collect_list(F.struct("part_number", "name", "aliases")).alias("parts"))
     raw = docs.select(F.to_json(F.struct("parts")).alias("j")).select(
         F.from_json("j", REFDATA).alias("r")).select("r.*")
@@ -1024,6 +1024,61 @@ def redictate_diff(spark, d):
     return ed.redictation_log(old, new).select("id", "field", "from_value", "to_value")
 
 
+# --- text forms ----------------------------------------------------------------
+
+
+@query("""SELECT k, CASE WHEN k % 3 = 1 THEN 'en' WHEN k % 3 = 2 THEN 'es' WHEN k % 5 = 1 THEN 'en' WHEN k % 5 = 2 THEN 'es'
+  ELSE 'en' END AS spoken FROM obs""", obs=True)
+def spoken_language(spark, d):
+    k = F.col("k")
+    return observations(spark, d).select("k", lexicon.effective_language(
+        F.when(k % 3 == 1, "en").when(k % 3 == 2, "es").otherwise("auto"),
+        F.when(k % 5 == 1, "en").when(k % 5 == 2, "es").when(k % 5 == 3, "fr")).alias("spoken"))
+
+
+@query("""SELECT k, strftime(t, '%Y-%m-%dT%H:%M:%S.%f') || '000Z' AS written, epoch_us(t) AS us
+  FROM (SELECT k, captured_at + to_microseconds(k * 7919 % 1000000) AS t FROM obs)""", obs=True)
+def time_texts(spark, d):
+    """Times as fixed-width text and back; digits past the microsecond are cut."""
+    at = F.timestamp_micros(F.unix_micros("captured_at") + F.col("k") * 7919 % 1000000)
+    df = observations(spark, d).select("k", tx.rfc3339_nanos(at).alias("written"))
+    finer = F.replace("written", F.lit("000Z"), F.lit("789Z"))
+    return df.select("k", "written", F.unix_micros(tx.parse_rfc3339(finer)).alias("us"))
+
+
+@query("""SELECT k, CASE WHEN k % 7 = 0 THEN 'null' ELSE '[' || concat_ws(',', CASE WHEN k % 5 = 0 THEN '"no location spoken"' END,
+    CASE WHEN k % 10 = 0 THEN '"no quantity spoken"' END) || ']' END AS written,
+  CASE WHEN k % 7 = 0 OR k % 3 = 0 THEN 0 ELSE (k % 5 = 0)::INT + (k % 10 = 0)::INT END AS n FROM obs""", obs=True)
+def reason_texts(spark, d):
+    """Reasons as JSON text and back; a null is ``null``, and broken text an empty array."""
+    k = F.col("k")
+    df = observations(spark, d).select(
+        "k", tx.string_array_json(F.when(k % 7 != 0, F.col("review_reasons"))).alias("written"))
+    stored = F.when(k % 3 == 0, F.concat(F.lit("broken "), "written")).otherwise(F.col("written"))
+    return df.select("k", "written", F.size(tx.string_array_from_json(stored)).alias("n"))
+
+
+@query("""SELECT event_id, least(event_id * 1000, 480000)::BIGINT AS kept, event_id * 1000 > 480000 AS truncated FROM events""")
+def talk_cap(spark, d):
+    held = (F.col("event_id") * 1000).cast("long")
+    cut = fr.push_to_talk_cap(held)
+    return table(spark, d, "events").select("event_id", cut["kept"].cast("long").alias("kept"), cut["truncated"].alias("truncated"))
+
+
+@query("""SELECT k, round(j + n * 0.1 * (1 - j), 9) AS score FROM (SELECT k, jaro_similarity(a, b) AS j,
+    CASE WHEN left(a, 4) = left(b, 4) AND length(a) >= 4 AND length(b) >= 4 THEN 4
+      WHEN left(a, 3) = left(b, 3) AND length(a) >= 3 AND length(b) >= 3 THEN 3
+      WHEN left(a, 2) = left(b, 2) AND length(a) >= 2 AND length(b) >= 2 THEN 2
+      WHEN left(a, 1) = left(b, 1) THEN 1 ELSE 0 END AS n
+  FROM (SELECT x.p_partkey AS k, x.p_brand AS a, y.p_brand AS b FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1))""")
+def brand_likeness(spark, d):
+    """Jaro-Winkler similarity of each part's brand and the next one's."""
+    p = table(spark, d, "part")
+    after = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_brand").alias("next"))
+    return p.join(after, "p_partkey").select(
+        F.col("p_partkey").alias("k"), F.round(sim.jaro_winkler("p_brand", "next"), 9).alias("score"))
+
+
 # --- audio and streaming -----------------------------------------------------
 
 
