@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.operators.ordered import id_rank, lagged, last_n, trailing, upper_median
+from tallyline.operators.ordered import lagged, last_n, trailing, upper_median
 
 
 def counts_by_status(df: DataFrame) -> DataFrame:
@@ -93,14 +93,14 @@ def latency_alerts(df: DataFrame, key: str, order: str, latency: str, target: Co
 
     At least three latencies are needed; every device alerts once.
     """
-    rolled = trailing(df, [key], order, latency, 50, F.col(order), "_last")
+    rolled = trailing(df, [key], order, latency, 50, "_last")
     breach = rolled.where((F.size("_last") >= 3) & (upper_median(F.col("_last")) > target))
     return breach.groupBy(key).agg(F.min(order).alias("first_alert"))
 
 
 def time_per_item(df: DataFrame) -> DataFrame:
     """Seconds since the device's previous capture."""
-    out = lagged(df, ["device_id"], "id", "captured_at", id_rank(), "previous_at")
+    out = lagged(df, ["device_id"], "id", "captured_at", "previous_at")
     return out.withColumn("gap_seconds", (
         F.unix_micros("captured_at") - F.unix_micros("previous_at")) / 1e6)
 

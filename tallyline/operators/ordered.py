@@ -1,10 +1,10 @@
 """Ordered per-key computations that survive a key holding most of the rows.
 
 A plain ``row_number`` over a device sorts all rows of that device in one task.
-Here the rows of a key are cut into chunks along the order, at boundaries taken
-from the data: approximate quantiles per key, so that a chunk holds about
-``CHUNK_ROWS`` rows. Only chunk totals are accumulated per key, and every
-window runs inside one chunk. A key of up to ``CHUNK_ROWS`` rows is one chunk.
+Here rows are range-partitioned by key and order, so a large key spans as many
+partitions as it needs, sorted and written once. What a partition hands to the next one
+is a single row per key: its count and its last value. Only these summaries are accumulated
+over a key; the rows themselves are never gathered.
 """
 
 from __future__ import annotations
@@ -12,79 +12,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 100_000
-#: quantiles computed per key; a larger key has larger chunks
-_QUANTILES = 1024
+from tallyline.session import cut_lineage
 
 
-def id_rank(id_col: str = "id") -> Column:
-    """Number of the leading 15 hex digits of a time-ordered id: time first."""
-    return F.conv(F.left(F.replace(F.col(id_col), F.lit("-"), F.lit("")), F.lit(15)), 16, 10).cast("bigint")
+def _placed(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows in order: ``_part``, and ``_id`` that counts up within it.
 
+    Written before use, since the borders are sampled: every reader sees the same ones, and
+    a lost executor costs a re-read.
+    """
+    dealt = df.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order)
+    return cut_lineage(dealt.withColumn("_id", F.monotonically_increasing_id())).withColumn(
+        "_part", F.shiftright("_id", 33))
 
-def chunked(df: DataFrame, keys: list[str], rank: Column, rows: int = CHUNK_ROWS) -> DataFrame:
-    """Add ``_chunk``; ``rank`` is a number monotone in the order of the rows."""
-    df = df.withColumn("_rank", rank)
-    cuts = F.array(*[F.lit(i / _QUANTILES) for i in range(1, _QUANTILES)])
-    bounds = df.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.percentile_approx("_rank", cuts, 10_000).alias("_cuts"))
-    step = F.greatest(F.lit(1), F.floor(F.lit(_QUANTILES) * rows / F.col("_n")).cast("int"))
-    # every step-th quantile; none for a key that is one chunk
-    chosen = F.array_distinct(F.filter("_cuts", lambda x, i: (i + 1) % step == 0))
-    bounds = bounds.where(F.col("_n") > rows).select(
-        *[F.col(k).alias(f"_b_{k}") for k in keys], chosen.alias("_cuts"))
-    same = [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys]
-    rank_at = F.coalesce(F.size(F.filter("_cuts", lambda x: x < F.col("_rank"))), F.lit(0))
-    return (df.join(bounds, same, "left")
-            .withColumn("_chunk", F.when(F.col("_cuts").isNull(), 0).otherwise(rank_at))
-            .drop("_rank", "_cuts", *[f"_b_{k}" for k in keys]))
 
+def _carried(placed: DataFrame, keys: list[str], *more: Column) -> tuple[DataFrame, Window]:
+    """One row per key and partition with its size and first row, and the order to scan them in."""
+    held = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"), *more)
+    return held, Window.partitionBy(*keys).orderBy("_part")
 
-def numbered(df: DataFrame, keys: list[str], order: str, rank: Column,
-             out: str = "rn", rows: int = CHUNK_ROWS) -> DataFrame:
-    """Add the 1-based position of a row within its key.
 
-    ``rank`` is a number monotone in ``order``.
-    """
-    df = chunked(df, keys, rank, rows)
-    totals = df.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(
-        Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, "_chunk", F.coalesce(
-        F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    return (
-        df.withColumn("_rn", F.row_number().over(inside))
-        .join(starts, [*keys, "_chunk"])
-        .withColumn(out, (F.col("_before") + F.col("_rn")).cast("bigint"))
-        .drop("_chunk", "_rn", "_before")
-    )
+def _attach(placed: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
+    c = carried.withColumnsRenamed({k: f"_k_{k}" for k in keys} | {"_part": "_k_part"})
+    same = F.col("_part") == F.col("_k_part")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return placed.join(c, same).drop("_k_part", *[f"_k_{k}" for k in keys])
+
+
+def numbered(df: DataFrame, keys: list[str], order: str, out: str = "rn") -> DataFrame:
+    """Add the 1-based position of a row within its key."""
+    placed = _placed(df, keys, order)
+    held, along = _carried(placed, keys)
+    before = F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = held.select(*keys, "_part", (before - F.col("_first") + 1).alias("_shift"))
+    return (_attach(placed, shift, keys).withColumn(out, (F.col("_id") + F.col("_shift")).cast("bigint"))
+            .drop("_id", "_part", "_shift"))
 
 
-def lagged(df: DataFrame, keys: list[str], order: str, value: str, rank: Column,
-           out: str, rows: int = CHUNK_ROWS) -> DataFrame:
+def lagged(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
     """Add the value of the previous row within the key."""
-    df = chunked(df, keys, rank, rows)
-    tails = df.groupBy(*keys, "_chunk").agg(F.max_by(value, order).alias("_tail"))
-    before = Window.partitionBy(*keys).orderBy("_chunk")
-    heads = tails.select(*keys, "_chunk", F.lag("_tail").over(before).alias("_prev"))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    placed = _placed(df, keys, order)
+    held, along = _carried(placed, keys, F.max_by(value, "_id").alias("_tail"))
+    heads = held.select(*keys, "_part", "_first", F.lag("_tail").over(along).alias("_prev"))
+    inside = Window.partitionBy(*keys, "_part").orderBy("_id")
     return (
-        df.withColumns({"_in": F.lag(value).over(inside), "_rn": F.row_number().over(inside)})
-        .join(heads, [*keys, "_chunk"])
-        .withColumn(out, F.when(F.col("_rn") == 1, F.col("_prev")).otherwise(F.col("_in")))
-        .drop("_chunk", "_in", "_rn", "_prev")
+        _attach(placed.withColumn("_in", F.lag(value).over(inside)), heads, keys)
+        .withColumn(out, F.when(F.col("_id") == F.col("_first"), F.col("_prev")).otherwise(F.col("_in")))
+        .drop("_id", "_part", "_first", "_prev", "_in")
     )
 
 
-def trailing(df: DataFrame, keys: list[str], order: str, value: str, size: int, rank: Column,
-             out: str, bucket: int = 10_000, rows: int = CHUNK_ROWS) -> DataFrame:
+def trailing(df: DataFrame, keys: list[str], order: str, value: str, size: int,
+             out: str, bucket: int = 10_000) -> DataFrame:
     """Add the sorted values of the last ``size`` rows up to each row.
 
     Rows are numbered, cut into buckets of ``bucket`` rows, and the last
     ``size - 1`` rows of a bucket also travel with the next one.
     """
-    n = numbered(df, keys, order, rank, "_pos", rows)
+    n = numbered(df, keys, order, "_pos")
     home = F.floor((F.col("_pos") - 1) / bucket)
     tail = (F.col("_pos") - 1) % bucket >= bucket - (size - 1)
     spread = n.withColumn("_home", home).withColumn("_bucket", F.explode(F.when(

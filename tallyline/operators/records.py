@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions.text import format_quantity, rfc3339_seconds
-from tallyline.operators.ordered import id_rank, numbered
+from tallyline.operators.ordered import numbered
 
 STATUSES = ("draft", "confirmed", "synced", "rejected")
 # The legal moves of a record.
@@ -55,7 +55,7 @@ def unsynced(df: DataFrame, after: str = "", limit: int = 50) -> DataFrame:
 def push_batches(df: DataFrame, size: int = 50) -> DataFrame:
     """Batch number of every queued record, oldest first per device."""
     queue = df.where("status = 'confirmed'")
-    return numbered(queue, ["device_id"], "id", id_rank(), "position").withColumn(
+    return numbered(queue, ["device_id"], "id", "position").withColumn(
         "batch_no", F.floor((F.col("position") - 1) / size).cast("bigint"))
 
 

@@ -3,10 +3,11 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyline.operators import frames as fr
-from tallyline.operators.ordered import chunked, lagged, last_n, numbered, trailing
+from tallyline.operators.ordered import _placed, lagged, last_n, numbered, trailing
 
 
 def _events(n=400):
@@ -15,35 +16,56 @@ def _events(n=400):
     return [("a" if rng.random() < 0.7 else "b", i, rng.randint(0, 99)) for i in range(n)]
 
 
-def test_chunks_follow_the_data(spark):
-    df = spark.range(100_000).select(F.lit("hot").alias("k"), F.pow("id", F.lit(2)).cast("long").alias("o")).unionAll(
+@pytest.fixture
+def many_partitions(spark):
+    """Small rows keep all their range partitions."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_a_hot_key_spans_partitions(spark, many_partitions):
+    df = spark.range(20_000).select(F.lit("hot").alias("k"), F.pow("id", F.lit(2)).cast("long").alias("o")).unionAll(
         spark.range(50).select(F.concat(F.lit("c"), F.col("id").cast("string")), F.col("id")))
-    sizes = [r.n for r in chunked(df, ["k"], F.col("o"), rows=1000).where("k = 'hot'").groupBy("_chunk").agg(
-        F.count("*").alias("n")).collect()]
-    assert 90 <= len(sizes) <= 130 and max(sizes) < 2500
-    whole = chunked(df, ["k"], F.col("o"))
-    assert whole.select("k", "_chunk").distinct().count() == 51
+    sizes = [r.n for r in _placed(df, ["k"], "o").where("k = 'hot'").groupBy("_part").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 4 and max(sizes) < 8000
 
 
-def test_numbered_lagged_trailing_last(spark):
+def test_numbered_lagged_trailing_last(spark, many_partitions):
     rows = _events()
-    df = spark.createDataFrame(rows, "k string, o long, v long")
-    rank = F.col("o")
+    df = spark.createDataFrame(rows, "k string, o long, v long").repartition(3, "v")
     seen, want = {}, {}
     for k, o, v in rows:
         past = seen.setdefault(k, [])
         want[o] = (len(past) + 1, past[-1] if past else None, sorted((past + [v])[-5:]))
         past.append(v)
-    got = {r.o: r.rn for r in numbered(df, ["k"], "o", rank, rows=17).collect()}
+    got = {r.o: r.rn for r in numbered(df, ["k"], "o").collect()}
     assert got == {o: w[0] for o, w in want.items()}
-    got = {r.o: r.p for r in lagged(df, ["k"], "o", "v", rank, "p", rows=17).collect()}
+    got = {r.o: r.p for r in lagged(df, ["k"], "o", "v", "p").collect()}
     assert got == {o: w[1] for o, w in want.items()}
-    got = {r.o: r.t for r in trailing(df, ["k"], "o", "v", 5, rank, "t", bucket=11, rows=17).collect()}
+    got = {r.o: r.t for r in trailing(df, ["k"], "o", "v", 5, "t", bucket=11).collect()}
     assert got == {o: w[2] for o, w in want.items()}
     got = {r.k: r.l for r in last_n(df, ["k"], "o", "v", 7, "l", salts=4).collect()}
     assert got == {k: vs[-7:] for k, vs in seen.items()}
 
 
+def test_null_keys_are_one_key_and_no_rows_are_none(spark, many_partitions):
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("a", 1, None)], "k string, o long, v long")
+    assert sorted((r.k or "", r.o, r.rn) for r in numbered(df, ["k"], "o").collect()) == [("", 1, 1), ("", 2, 2), ("a", 1, 1)]
+    assert {(r.k, r.o): r.p for r in lagged(df, ["k"], "o", "v", "p").collect()} == {
+        (None, 1): None, (None, 2): 5, ("a", 1): None}
+    assert numbered(df.limit(0), ["k"], "o").count() == 0
+
+
+def test_numbers_shuffle_rows_once(spark):
+    """Behind the written order only summaries are shuffled: one row per key and partition."""
+    plan = numbered(spark.range(90).selectExpr("id % 3 AS k", "id AS o"), ["k"], "o")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") <= 2 and text.count("FileScan") <= 2
+
+
 RATE = 16000
 
 
