@@ -44,7 +44,7 @@ from .components import components
 CHUNKS, SIZE = 12, 6
 N = CHUNKS * SIZE
 NEAR, REACH = 44, 30
-#: members of a key that one task compares
+#: the comparisons among the members of a key that one task makes are the square of this
 CROWD = 256
 #: shingles of all sets of a group, or of a block, that one task compares; pivots of a large group
 GROUP, PIVOTS = 2_000_000, 8
@@ -209,22 +209,32 @@ def _compared(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return _by_tile(sent.select(F.col("key").alias("tile"), "node", "apart", "sig"), links)
 
 
+def _leaders(rows: DataFrame) -> DataFrame:
+    """Keys of several members and their smallest one; of keys with the same members one stays."""
+    members = [F.min("node").alias("lead"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("a"),
+               F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b")]
+    many = rows.groupBy("key").agg(*members).where("n > 1")
+    return many.groupBy("lead", "n", "a", "b").agg(F.min("key").alias("key")).select("key", "lead")
+
+
 def near_links(nodes: DataFrame) -> DataFrame:
     """Links (u, v) whose components hold every pair that shares a key and is within REACH."""
     rows, links = _keyed(nodes), None
     while True:
-        lead = rows.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
-        led = rows.join(lead.drop("n"), "key").where("node <> lead")
+        led = rows.join(_leaders(rows), "key").where("node <> lead")
         led = keep(led if "used" in led.columns else led.withColumn("used", F.lit(0)))
         far = keep(_distances(led.select("node", "lead").distinct(), nodes))
         found = far.where(F.col("far") <= NEAR).select(F.col("node").alias("u"), F.col("lead").alias("v"))
         links = found if links is None else links.unionAll(found)
-        shell = keep(led.join(far, ["node", "lead"]).where(F.col("far") > NEAR - REACH).select(
-            "key", "node", "used", (F.col("far") > NEAR).alias("apart")))
-        parted = shell.groupBy("key").agg(F.max("apart").alias("parted"), F.count("*").alias("n"))
-        left = keep(shell.join(parted.where("parted AND n > 1").drop("parted"), "key"))
-        links = links.unionAll(_compared(left.where(F.col("n") <= CROWD), nodes))
-        crowds = left.where(F.col("n") > CROWD)
+        # a key with all members near its leader is settled
+        apart = led.join(far.where(F.col("far") > NEAR), ["node", "lead"])
+        parted = keep(apart.groupBy("key").agg(F.count("*").alias("parted")))
+        shell = keep(led.join(parted, "key").join(far.where(F.col("far") > NEAR - REACH), ["node", "lead"]).select(
+            "key", "node", "used", "parted", (F.col("far") > NEAR).alias("apart")))
+        left = keep(shell.join(shell.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+        fits = F.col("n") * F.col("parted") <= CROWD * CROWD
+        links = links.unionAll(_compared(left.where(fits), nodes))
+        crowds = left.where(~fits)
         if crowds.isEmpty():
             return links
         # by the bits of used: whether a chunk is left in which the errors leave a symbol
