@@ -57,10 +57,10 @@ def text_of(name: str = "text") -> Column:
 
 #: bytes of text worked on at once; a longer single text is a block of its own
 BLOCK = 1 << 21
+#: texts worked on at once, however short
+ROWS = 1 << 14
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_RNG = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,11 +74,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@cache
-def _powers() -> np.ndarray:
-    return np.cumprod(np.full(1 << 16, _ODD, np.uint64), dtype=np.uint64)
-
-
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the offsets of its texts; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -99,13 +94,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str,
-           limit: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut Arrow batches so that each part holds about ``limit`` bytes of text."""
+           limit: int = BLOCK, rows: int = ROWS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cut Arrow batches so that each part holds about ``limit`` bytes of text, and at most ``rows`` texts."""
     for batch in batches:
         data, at = flat(batch.column(batch.schema.get_field_index(column)))
         lo, n = 0, batch.num_rows
         while lo < n:
-            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
+            hi = min(max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1), lo + rows)
             yield batch.slice(lo, hi - lo), data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]
             lo = hi
 
@@ -127,16 +122,22 @@ def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans that neither overlap nor are empty."""
+    """64-bit hashes of byte spans that neither overlap nor are empty.
+
+    A span is read in pieces of eight bytes, each mixed with its place before they are added.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     size = ends - starts
-    first = np.concatenate([[0], np.cumsum(size)])
-    inside = np.arange(first[-1]) - np.repeat(first[:-1], size)
-    value = _BYTE[data[np.repeat(starts, size) + inside]]
-    value *= _powers()[inside & 0xFFFF]
-    # words longer than the table differ in the block count, too
-    value += (inside >> 16).astype(np.uint64) * value
+    pieces = (size + 7) >> 3
+    first = np.concatenate([[0], np.cumsum(pieces)])
+    nth = np.arange(first[-1]) - np.repeat(first[:-1], pieces)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data), "<u8", padded, strides=(1,))
+    value = eight[np.repeat(starts, pieces) + 8 * nth].astype(np.uint64)
+    spare = 8 - np.minimum(np.repeat(size, pieces) - 8 * nth, 8)
+    value &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (8 * spare).astype(np.uint64)
+    value = mix64(value ^ mix64(nth.astype(np.uint64) + _ODD))
     return mix64(np.add.reduceat(value, first[:-1]) ^ (size.astype(np.uint64) * _ODD))
 
 

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import blocks
 
 TRAINING = 2400
+#: texts whose vectors are held at once
+AT_ONCE = 1024
 BITS = 12
 WIDTH = 1 << BITS
 UNKNOWN = "und"
@@ -67,7 +69,7 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _vectors(docs: DataFrame, *names: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in blocks(batches, "text"):
+        for rows, data, at in blocks(batches, "text", rows=AT_ONCE):
             x = features(data, at).astype(np.float16)
             yield pa.RecordBatch.from_arrays(
                 [*[rows.column(i) for i in range(len(names))], pa.array([v.tobytes() for v in x], pa.binary())],
@@ -157,12 +159,12 @@ def learn(docs: DataFrame, training: int = TRAINING) -> Model | None:
     for r in counts:
         share = F.when(F.col("lang") == r["lang"], min(1.0, (1.2 * each + 50) / r["n"])).otherwise(share)
     drawn = usable.where(unit < share).withColumn(
-        "nth", F.row_number().over(Window.partitionBy("lang").orderBy(order))).where(F.col("nth") <= each)
+        "nth", F.row_number().over(Window.partitionBy("lang").orderBy(order, F.xxhash64("text")))).where(F.col("nth") <= each)
     rows = _vectors(drawn.select("lang", "text"), "lang").toArrow()
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float32)
-    langs = np.array(rows["lang"].to_pylist(), object)
-    first = np.lexsort((x[:, 0], langs.astype(str)))  # the order of rows must not matter
-    return Model(x[first], langs[first])
+    # the order of rows must not matter
+    sample = sorted(zip(rows["lang"].to_pylist(), rows["x"].to_pylist()))
+    x = np.frombuffer(b"".join(v for _, v in sample), np.float16).reshape(-1, WIDTH).astype(np.float32)
+    return Model(x, np.array([lang for lang, _ in sample], object))
 
 
 def _has_letter(rows: pa.Array, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -182,7 +184,7 @@ def identify(docs: DataFrame, model: Model | None, *carry: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by languages and WIDTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in blocks(batches, text):
+        for rows, data, at in blocks(batches, text, rows=AT_ONCE):
             n = rows.num_rows
             lang, score = np.full(n, UNKNOWN, object), np.zeros(n)
             if sent.value is not None:
