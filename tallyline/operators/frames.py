@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,44 +58,92 @@ def resample(samples: Column, from_rate: Column, to_rate: Column) -> Column:
         F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), at))
 
 
+def _factor(rate: int, hz: float) -> Column:
+    """What the first-order high-pass keeps from one sample to the next."""
+    rc = 1 / (2 * math.pi * hz)
+    return F.lit(rc / (rc + 1 / rate)).cast("float").cast("double")
+
+
+def _block_size(rate: int, hz: float) -> tuple[int, int]:
+    """Samples of a block, whole frames of at least a second, and how many blocks a sample is heard in.
+
+    After ``forgotten`` samples the filter's memory is below the precision of a double; a block is
+    long enough that this takes eight of them at most.
+    """
+    frame = rate * FRAME_MS // 1000
+    forgotten = math.log(1e18) / math.log1p(2 * math.pi * hz / rate)
+    frames = math.ceil(max(rate, forgotten / 8) / frame)
+    return frames * frame, math.ceil(forgotten / (frames * frame))
+
+
+def high_pass_blocks(clips: DataFrame, rate: int, hz: float) -> DataFrame:
+    """Blocks ``(clip_id, block, x, y, samples)`` of clips, each with the filter's state before it.
+
+    The high-pass over a block is an affine step of the state, ``y -> f^n y + b``: blocks are
+    filtered from rest, all at once, for their ``b``, and the steps compose by handing every
+    ``b`` on to the blocks in which it is still heard, by a power of ``f^n``. So a long clip is
+    filtered in as many tasks as it has blocks. ``x`` is the sample before the block (the first
+    of the clip for the first). Clip ids are unique and not null.
+    """
+    n, heard = _block_size(rate, hz)
+    factor = _factor(rate, hz)
+    count = F.ceil(F.size("pcm") / n).cast("int")
+    cut = F.when(F.size("pcm") > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.struct(
+        F.get("pcm", F.greatest(i * n - 1, F.lit(0))).cast("double").alias("x"),
+        F.slice("pcm", i * n + 1, n).alias("samples"))))
+    blocks = clips.select("clip_id", F.posexplode(cut).alias("block", "b")).select(
+        "clip_id", "block", "b.x", "b.samples").repartition("clip_id", "block")
+    rest = F.struct(F.col("x").alias("x"), F.lit(0.0).alias("y"))
+    end = F.aggregate("samples", rest, lambda s, x: F.struct(
+        x.cast("double").alias("x"), (factor * (s["y"] + x - s["x"])).alias("y")), lambda s: s["y"])
+    passed = blocks.select("clip_id", "block", end.alias("b")).select(
+        "clip_id", "b", "block", F.explode(F.sequence(F.lit(1), F.lit(heard))).alias("hop"))
+    states = passed.groupBy("clip_id", (F.col("block") + F.col("hop")).alias("block")).agg(
+        F.sum(F.col("b") * F.pow(factor, F.lit(n) * (F.col("hop") - 1))).alias("y"))
+    return blocks.join(states, ["clip_id", "block"], "left").select(
+        "clip_id", "block", "x", F.coalesce("y", F.lit(0.0)).alias("y"), "samples")
+
+
+def _high_pass_features(clips: DataFrame, rate: int, hz: float) -> DataFrame:
+    size, (n, _), factor = rate * FRAME_MS // 1000, _block_size(rate, hz), _factor(rate, hz)
+    frame = "struct<rms:double,zcr:double>"
+    start = F.struct(
+        "x", "y", F.lit(0).alias("n"), F.lit(0.0).alias("energy"), F.lit(0).alias("crossings"),
+        F.array().cast(f"array<{frame}>").alias("frames"))
+
+    def step(s: Column, x: Column) -> Column:
+        def state(v: Column) -> Column:
+            energy = s["energy"] + v["y"] * v["y"]
+            # a decay below the smallest float is silence
+            crossed = s["crossings"] + F.when((s["n"] > 0) & (
+                (s["y"].cast("float") >= 0) != (v["y"].cast("float") >= 0)), 1).otherwise(0)
+            full = s["n"] + 1 == size
+            done = F.array(F.struct(F.sqrt(energy / size).alias("rms"),
+                                    (crossed / (size - 1)).alias("zcr")))
+            return F.struct(
+                x.cast("double").alias("x"), v["y"].alias("y"),
+                F.when(full, 0).otherwise(s["n"] + 1).alias("n"),
+                F.when(full, 0.0).otherwise(energy).alias("energy"),
+                F.when(full, 0).otherwise(crossed).alias("crossings"),
+                F.when(full, F.concat(s["frames"], done)).otherwise(s["frames"]).alias("frames"))
+
+        y = factor * (s["y"] + x - s["x"])
+        return F.get(F.transform(F.array(F.struct(y.alias("y"))), state), F.lit(0))
+
+    frames = F.aggregate("samples", start, step, lambda s: s["frames"])
+    return high_pass_blocks(clips, rate, hz).select("clip_id", "block", F.posexplode(frames).alias("pos", "f")).select(
+        "clip_id", (F.col("block") * (n // size) + F.col("pos")).alias("frame_no"), "f.rms", "f.zcr")
+
+
 def frame_features(clips: DataFrame, rate: int = RATE, high_pass_hz: float = 0.0) -> DataFrame:
     """Frame series ``(clip_id, frame_no, rms, zcr)`` of mono clips.
 
-    With a cut-off the first-order high-pass runs as a fold that carries two
-    scalars and emits one level and one rate per frame, never samples.
+    With a cut-off the first-order high-pass runs over blocks of samples in parallel
+    (``high_pass_blocks``), in doubles, and emits one level and one rate per frame, never samples.
     """
     size = rate * FRAME_MS // 1000
     if high_pass_hz > 0:
-        rc = 1 / (2 * 3.141592653589793 * high_pass_hz)
-        alpha = F.lit(rc / (rc + 1 / rate)).cast("float")
-        frame = "struct<rms:double,zcr:double>"
-        start = F.struct(
-            F.get("pcm", F.lit(0)).alias("x"), F.lit(0.0).cast("float").alias("y"),
-            F.lit(0).alias("n"), F.lit(0.0).alias("energy"), F.lit(0).alias("crossings"),
-            F.array().cast(f"array<{frame}>").alias("frames"))
-
-        def step(s: Column, x: Column) -> Column:
-            y = (alpha * (s["y"] + x - s["x"])).cast("float")
-
-            def state(v: Column) -> Column:
-                energy = s["energy"] + v["y"].cast("double") * v["y"].cast("double")
-                crossed = s["crossings"] + F.when(
-                    (s["n"] > 0) & ((s["y"] >= 0) != (v["y"] >= 0)), 1).otherwise(0)
-                full = s["n"] + 1 == size
-                done = F.array(F.struct(F.sqrt(energy / size).alias("rms"),
-                                        (crossed / (size - 1)).alias("zcr")))
-                return F.struct(
-                    x.alias("x"), v["y"].alias("y"),
-                    F.when(full, 0).otherwise(s["n"] + 1).alias("n"),
-                    F.when(full, 0.0).otherwise(energy).alias("energy"),
-                    F.when(full, 0).otherwise(crossed).alias("crossings"),
-                    F.when(full, F.concat(s["frames"], done)).otherwise(s["frames"]).alias("frames"))
-
-            return F.get(F.transform(F.array(F.struct(y.alias("y"))), state), F.lit(0))
-
-        frames = F.aggregate("pcm", start, step, lambda s: s["frames"])
-        return clips.select("clip_id", F.posexplode(frames).alias("frame_no", "f")).select(
-            "clip_id", "frame_no", "f.rms", "f.zcr")
+        return _high_pass_features(clips, rate, high_pass_hz)
     count = F.floor(F.size("pcm") / size).cast("int")
     cut = F.when(count > 0, F.transform(
         F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))),

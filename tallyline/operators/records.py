@@ -198,6 +198,24 @@ def upsert(base: DataFrame, batch: DataFrame, arrival: str, key: str = "id",
     return best.select("_row.*")
 
 
+def upsert_bucketed(base: DataFrame, batch: DataFrame, arrival: str, key: str = "id",
+                    owner: str = "device_id") -> DataFrame:
+    """``upsert`` into records kept bucketed by key (``sources.write_bucketed``), which stay where they are.
+
+    Only the batch is shuffled: its rows become one claim per key and device, claims meet the
+    owners in the base bucket by bucket, and what wins replaces its record. The base has one
+    row a key; keys are not null (``invalid_reason`` rejects such rows).
+    """
+    claims = batch.groupBy(key, owner).agg(
+        F.max_by(F.struct(*[F.col(c) for c in base.columns]), arrival).alias("_row"), F.min(arrival).alias("_first"))
+    owners = base.select(key, F.col(owner).alias("_mine"), F.lit(True).alias("_known"))
+    won = (claims.join(owners, key, "left")
+           .where(F.col("_known").isNull() | F.col("_mine").eqNullSafe(F.col(owner)))
+           .groupBy(key).agg(F.min_by("_row", F.struct("_first", owner)).alias("_row")))
+    old = base.select(key, F.struct(*[F.col(c) for c in base.columns]).alias("_old"))
+    return old.join(won, key, "full").select(F.coalesce("_row", "_old").alias("_row")).select("_row.*")
+
+
 def apply_voids(df: DataFrame, voids: DataFrame) -> DataFrame:
     """Records without the tombstoned ids, in whatever order both arrived."""
     return df.join(voids.select("id").distinct(), "id", "left_anti")

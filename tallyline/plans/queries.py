@@ -214,10 +214,12 @@ def dedupe_ids(spark, d):
     return rec.dedupe(li, "id", "pos")
 
 
-@query("""SELECT id, device_id, CASE WHEN k % 3 = 0 AND k % 7 <> 0 THEN 'synced' ELSE status END AS status,
+_MERGED_SQL = """SELECT id, device_id, CASE WHEN k % 3 = 0 AND k % 7 <> 0 THEN 'synced' ELSE status END AS status,
   CASE WHEN k % 3 = 0 AND k % 7 <> 0 THEN 3 ELSE 1 END::BIGINT AS arrival FROM obs
-  UNION ALL SELECT id || 'n', 'first', 'draft', 1::BIGINT FROM obs WHERE k % 50 = 0""", obs=True)
-def merge_upsert(spark, d):
+  UNION ALL SELECT id || 'n', 'first', 'draft', 1::BIGINT FROM obs WHERE k % 50 = 0"""
+
+
+def _merge_case(spark, d):
     cols = ["id", "device_id", "status", "arrival"]
     base = observations(spark, d).withColumn("arrival", F.lit(1).cast("bigint"))
 
@@ -233,7 +235,21 @@ def merge_upsert(spark, d):
     batch = (sent(again, own, "draft", 2).unionAll(sent(again, own, "synced", 3))
              .unionAll(sent(base.where("k % 4 = 0"), F.lit("intruder"), "rejected", 0))
              .unionAll(sent(new, F.lit("second"), "synced", 2)).unionAll(sent(new, F.lit("first"), "draft", 1)))
-    return rec.upsert(base.select(*cols), batch, "arrival")
+    return base.select(*cols), batch
+
+
+@query(_MERGED_SQL, obs=True)
+def merge_upsert(spark, d):
+    return rec.upsert(*_merge_case(spark, d), "arrival")
+
+
+@query(_MERGED_SQL, obs=True)
+def merge_bucketed(spark, d):
+    """The same merge into a base bucketed by record id: only the batch is shuffled."""
+    base, batch = _merge_case(spark, d)
+    name = f"records_{uuid.uuid4().hex}"
+    stored = sources.write_bucketed(base, name, f"{shared_dir(spark)}/{name}")
+    return rec.upsert_bucketed(stored, batch, "arrival")
 
 
 @query("""SELECT observation_id, field, to_value, row_number() OVER (PARTITION BY observation_id
@@ -1117,6 +1133,24 @@ def resampled(spark, d):
                     total("m").alias("mono_sum"), total("r").alias("sample_sum"))
 
 
+@query("""WITH f AS (SELECT event_id // 2500 AS clip_id,
+    row_number() OVER (PARTITION BY event_id // 2500 ORDER BY event_id) - 1 AS p, (value / 100)::FLOAT::DOUBLE AS x FROM events),
+  d AS (SELECT clip_id, p, coalesce(x - lag(x) OVER (PARTITION BY clip_id ORDER BY p), 0) AS dx FROM f),
+  y AS (SELECT a.clip_id, a.p, sum(b.dx * pow((1 / (1 + 0.2::DOUBLE * pi()))::FLOAT::DOUBLE, a.p - b.p + 1)) AS y
+    FROM d a JOIN d b ON b.clip_id = a.clip_id AND b.p <= a.p AND b.p > a.p - 100 GROUP BY a.clip_id, a.p),
+  s AS (SELECT *, (y::FLOAT >= 0) <> lag(y::FLOAT >= 0) OVER (PARTITION BY clip_id, p // 30 ORDER BY p) AS crossed FROM y)
+  SELECT clip_id, (p // 30)::INTEGER AS frame_no, round(sqrt(sum(y * y) / 30), 6) AS rms,
+    round(count(*) FILTER (crossed) / 29, 6) AS zcr FROM s GROUP BY clip_id, p // 30 HAVING count(*) = 30""")
+def high_pass(spark, d):
+    """Event values as recordings of 2,500 samples at 1,000 Hz, high-passed at 100 Hz."""
+    e = table(spark, d, "events")
+    clips = e.groupBy(F.floor(F.col("event_id") / 2500).alias("clip_id")).agg(F.array_sort(F.collect_list(
+        F.struct("event_id", (F.col("value") / 100).cast("float").alias("x")))).alias("s"))
+    clips = clips.select("clip_id", F.transform("s", lambda s: s["x"]).alias("pcm"))
+    return fr.frame_features(clips, 1000, 100.0).select(
+        "clip_id", "frame_no", F.round("rms", 6).alias("rms"), F.round("zcr", 6).alias("zcr"))
+
+
 def _frames(spark, d):
     e = table(spark, d, "events")
     return e.select(

@@ -125,3 +125,15 @@ def json_rows(df: DataFrame) -> DataFrame:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, key: str = "id", buckets: int | None = None) -> DataFrame:
+    """Write records as an external table bucketed and sorted by key; joins on the key don't shuffle it.
+
+    Without a number there are as many buckets as shuffle partitions.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(n, key).write.mode("overwrite").option("path", path).bucketBy(n, key).sortBy(key)
+     .saveAsTable(name))
+    return spark.table(name)
