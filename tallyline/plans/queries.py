@@ -840,7 +840,42 @@ def resolve_code(spark, d):
         "o_orderkey", "location_id", "score")
 
 
-@query()
+def _singular_sql(c):
+    return f"""array_to_string(list_transform(list_filter(regexp_split_to_array({c}, ' +'), lambda w: w <> ''),
+      lambda w: CASE WHEN w LIKE '%es' AND strlen(w) > 4 THEN w[:-3] WHEN w LIKE '%s' AND strlen(w) > 3 THEN w[:-2] ELSE w END), ' ')"""
+
+
+#: every text against every key, one character of the text a step; ``rest`` marks taken characters of the key
+_FUZZY_SQL = f"""WITH RECURSIVE {PARTS_SQL},
+  said AS (SELECT p_partkey, left(p_name, (p_partkey % length(p_name))::INT)
+    || substr(p_name, (p_partkey % length(p_name))::INT + 2) AS t FROM part),
+  keys AS (SELECT DISTINCT part_number AS id, lower(trim(x)) AS kfold FROM
+    (SELECT part_number, unnest([name, part_number, name || 's']) AS x FROM parts)),
+  texts AS (SELECT DISTINCT lower(trim(t)) AS fold FROM said),
+  exact AS (SELECT fold, min(id) AS id FROM texts JOIN keys ON fold = kfold GROUP BY fold),
+  forms AS (SELECT fold, id, unnest([fold, {_singular_sql('fold')}]) AS q, unnest([kfold, {_singular_sql('kfold')}]) AS k
+    FROM texts, keys WHERE fold NOT IN (SELECT fold FROM exact)),
+  r(q, k, i, rest, hit) AS (
+    SELECT DISTINCT q, k, 0, k, '' FROM forms WHERE q <> '' AND k <> '' UNION ALL
+    SELECT q, k, i + 1, CASE WHEN found > 0 THEN left(rest, low + found - 1) || chr(1) || substr(rest, low + found + 1) ELSE rest END,
+      CASE WHEN found > 0 THEN hit || q[i + 1] ELSE hit END
+    FROM (SELECT *, instr(substr(rest, low + 1, greatest(i + reach + 1 - low, 0)), q[i + 1]) AS found
+      FROM (SELECT *, greatest(i - reach, 0) AS low
+        FROM (SELECT *, greatest(greatest(length(q), length(k)) // 2 - 1, 0) AS reach FROM r WHERE i < length(q))))),
+  m AS (SELECT q, k, length(hit)::DOUBLE AS m, hit,
+      array_to_string(list_transform(list_filter(range(1, length(k) + 1), lambda n: rest[n] = chr(1)), lambda n: k[n]), '') AS other,
+      (SELECT count(*) FROM range(1, 5) AS n(n) WHERE n <= least(length(q), length(k)) AND left(q, n) = left(k, n))::DOUBLE AS p
+    FROM r WHERE i = length(q) AND hit <> ''),
+  j AS (SELECT q, k, p, (m / length(q) + m / length(k)
+    + (m - len(list_filter(range(1, length(hit) + 1), lambda n: hit[n] <> other[n])) / 2::DOUBLE) / m) / 3 AS j FROM m),
+  w AS (SELECT q, k, j + p * 0.1::DOUBLE * (1 - j) AS score FROM j),
+  best AS (SELECT fold, id, score FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score DESC, id) AS rn
+    FROM forms JOIN w USING (q, k) WHERE score >= 0.85::DOUBLE - 1e-12) WHERE rn = 1
+    UNION ALL SELECT fold, id, 1.0::DOUBLE FROM exact)
+  SELECT p_partkey, t, id, round(score, 6) AS score FROM said LEFT JOIN best ON fold = lower(trim(t))"""
+
+
+@query(_FUZZY_SQL)
 def resolve_fuzzy(spark, d):
     """Misspelt part names against the vocabulary: best id and score."""
     n = F.length("p_name")
