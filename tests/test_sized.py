@@ -1,9 +1,14 @@
 """Plans that hold at any size of the tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyline import lexicon
+from tallyline.operators import extraction
 from tallyline.operators.tokens import tokenize
+from tallyline.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan_of(df):
@@ -26,3 +31,36 @@ def test_a_large_vocabulary_is_shuffled(spark, monkeypatch):
     hits = lexicon.match_phrases(tokenize(texts), lexicon.lexicon_frame(spark), "id")
     assert "ShuffledHashJoin" in plan_of(hits) and "BuildLeft" not in plan_of(hits)
     assert hits.count() == 150
+
+
+def test_every_text_is_worked_on_once(spark):
+    """A value made per call is the same for all rows of a text, and rows keep their own columns."""
+    said = [(i, "en" if i % 2 else None, ["two boxes", "", None][i % 3]) for i in range(60)]
+    df = spark.createDataFrame(said + [(60, "es", "two boxes")], "id long, lang string, text string")
+    out = extraction.per_text(df, lambda t, text, lang: t.withColumn("call", F.expr("uuid()"))).collect()
+    assert sorted((r.id, r.lang, r.text) for r in out) == sorted(said + [(60, "es", "two boxes")])
+    assert len({r.call for r in out}) == 3
+
+
+def test_per_text_equals_row_by_row(spark):
+    said = ["twelve boxes of bolts in bin A-14", "about 3 boxes of tape", "several reels of wire in aisle two shelf 3",
+            "", None, "  ", "doce cajas de pernos en el bin C 7", "TWELVE boxes of bolts in bin A-14"]
+    df = spark.createDataFrame([(i, [None, "en", "es", "fr"][i // 8], said[i % 8]) for i in range(32)] * 2,
+                               "id long, lang string, text string")
+    for work in (extraction.extract, extraction.location_value, extraction.quantity_value):
+        want = work(df, "text", "lang")
+        got = extraction.per_text(df, work).select(want.columns)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    want = extraction.extract_items(df.distinct(), "id").select("id", "item_no", "parse")
+    got = extraction.per_text(df.distinct(), lambda t, text, lang: extraction.extract_items(
+        t, [text, lang], text, lang)).select("id", "item_no", "parse")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.parametrize("query", [
+    "qty_unit", "item_desc", "multi_item", "review", "certainty", "confidence", "loc_extract", "corrections_inline",
+    "edit_values", "article_qty"])
+def test_queries_parse_different_texts(spark, query):
+    """The parser stands above the different texts, not above the rows."""
+    plan = QUERIES[query](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [text_key" in plan
