@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.text import format_quantity, trim_space
-from tallyline.operators.extraction import extract, location_value, quantity_value
+from tallyline.operators.extraction import extract, location_value, per_text, quantity_value
 from tallyline.operators.resolve import has_rows, resolve, resolve_parse
 from tallyline.operators.review import capture_reasons, confidence, edit_reasons, with_profile
 from tallyline.session import cut_lineage
@@ -21,11 +21,16 @@ def _understand(e: DataFrame, locations: DataFrame, parts: DataFrame) -> DataFra
         "_qv": F.when(F.col("field") == "quantity", F.col("value")).otherwise(""),
         "_iv": F.when(F.col("field") == "item", F.col("_trim")).otherwise(""),
     })
-    e = location_value(e, "_lv", "_lang", "_lt")
-    e = quantity_value(e, "_qv", "_lang", "_q")
-    e = resolve(e.withColumn("_lt0", F.coalesce("_lt", F.lit(""))), "_lt0", locations, "id",
-                "_lid", "_ls", code=True)
-    return resolve(e, "_iv", parts, "part_number", "_pid", "_ps", code=False)
+    # each different value is parsed and resolved once: most edits of a field say what others said
+
+    def place(t: DataFrame, said: str, lang: str) -> DataFrame:
+        t = location_value(t, said, lang, "_lt").withColumn("_lt0", F.coalesce("_lt", F.lit("")))
+        return resolve(t, "_lt0", locations, "id", "_lid", "_ls", code=True).drop("_lt0")
+
+    e = per_text(e, place, "_lv", "_lang")
+    e = per_text(e, lambda t, said, lang: quantity_value(t, said, lang, "_q"), "_qv", "_lang")
+    return per_text(e, lambda t, said, lang: resolve(
+        t, said, parts, "part_number", "_pid", "_ps", code=False), "_iv", "_lang")
 
 
 def _understood(field: Column) -> Column:
@@ -45,8 +50,8 @@ def apply_edits(records: DataFrame, edits: DataFrame, locations: DataFrame, part
     ``correction`` to log and the review state. Edited confidence is not
     multiplied by speech confidence.
     """
-    e = edits.join(records.select(
-        "id", "device_id", "language", "status", "parsed", "confidence"), "id", "left")
+    e = cut_lineage(edits.join(records.select(
+        "id", "device_id", "language", "status", "parsed", "confidence"), "id", "left"))
     e = _understand(e, locations, parts)
     field, p, c = F.col("field"), F.col("parsed"), F.col("confidence")
     outcome = (
@@ -133,7 +138,8 @@ def _effects(e: DataFrame, locations: DataFrame, parts: DataFrame) -> DataFrame:
     spoken = e.where(F.col("field") == DICTATION).select(
         "id", "at", "pos", "field", F.coalesce("language", F.lit("en")).alias("lang"),
         F.coalesce("value", F.lit("")).alias("text"), F.coalesce("asr_confidence", F.lit(1.0)).alias("asr"))
-    heard = resolve_parse(extract(spoken), locations, parts)
+    heard = per_text(spoken, lambda t, said, lang: resolve_parse(
+        cut_lineage(extract(t, said, lang)), locations, parts))
     p = F.col("parse")
     sure = confidence(p["cert_quantity"], p["cert_location"], p["cert_item"], F.col("asr"))
     whole = heard.withColumn("_c", sure).select("id", edit(
@@ -192,7 +198,7 @@ def apply_edit_log(records: DataFrame, edits: DataFrame, locations: DataFrame, p
     """
     of_record = records.select("id", "device_id", "status", "language", "parsed", "confidence", "review_reasons",
                                "needs_review")
-    known = edits.join(of_record.select("id", "language"), "id", "left")
+    known = cut_lineage(edits.join(of_record.select("id", "language"), "id", "left"))
     order = F.array_sort(F.collect_list("edit"))  # by at, then pos
     # written once: the parse is a long plan, and the fold need not be planned again with it
     found = (cut_lineage(_effects(known, locations, parts)).groupBy("id").agg(order.alias("edits"))
