@@ -16,21 +16,24 @@ def _understand(e: DataFrame, locations: DataFrame, parts: DataFrame) -> DataFra
     """Add what the typed or spoken ``value`` of each edit says: text, id and score of its field."""
     e = e.withColumns({"_lang": F.coalesce("language", F.lit("en")),
                        "_trim": trim_space(F.coalesce("value", F.lit("")))})
-    e = e.withColumns({
-        "_lv": F.when(F.col("field") == "location", F.col("value")).otherwise(""),
-        "_qv": F.when(F.col("field") == "quantity", F.col("value")).otherwise(""),
-        "_iv": F.when(F.col("field") == "item", F.col("_trim")).otherwise(""),
-    })
     # each different value is parsed and resolved once: most edits of a field say what others said
 
     def place(t: DataFrame, said: str, lang: str) -> DataFrame:
         t = location_value(t, said, lang, "_lt").withColumn("_lt0", F.coalesce("_lt", F.lit("")))
         return resolve(t, "_lt0", locations, "id", "_lid", "_ls", code=True).drop("_lt0")
 
-    e = per_text(e, place, "_lv", "_lang")
-    e = per_text(e, lambda t, said, lang: quantity_value(t, said, lang, "_q"), "_qv", "_lang")
-    return per_text(e, lambda t, said, lang: resolve(
-        t, said, parts, "part_number", "_pid", "_ps", code=False), "_iv", "_lang")
+    def number(t: DataFrame, said: str, lang: str) -> DataFrame:
+        return quantity_value(t, said, lang, "_q")
+
+    def item(t: DataFrame, said: str, lang: str) -> DataFrame:
+        return resolve(t, said, parts, "part_number", "_pid", "_ps", code=False)
+
+    # an edit goes through the rules of its own field only
+    out = e.where(~F.coalesce(F.col("field").isin("location", "quantity", "item"), F.lit(False)))
+    for field, value, work in (("location", "value", place), ("quantity", "value", number), ("item", "_trim", item)):
+        out = out.unionByName(
+            per_text(e.where(F.col("field") == field), work, value, "_lang"), allowMissingColumns=True)
+    return out
 
 
 def _understood(field: Column) -> Column:
@@ -152,12 +155,22 @@ def _fold(s: Column, e: Column, mutable: Column) -> Column:
     """The record after one more edit: it sees what earlier ones left."""
     p, c, field = s["parsed"], s["confidence"], e["field"]
     whole = field == DICTATION
-    new, sure = p, c
-    for name in _SAID:
-        by = [f for f, names in _REPLACES.items() if name in names]
-        new = new.withField(name, F.when(whole | field.isin(*by), e["said"][name]).otherwise(p[name]))
-    for name in ("asr", "quantity", "location", "item"):
-        sure = sure.withField(name, F.when(whole | (field == name), e["sure"][name]).otherwise(c[name]))
+
+    def replaced(old: Column, by: str, names) -> Column:
+        for name in names:
+            old = old.withField(name, e[by][name])
+        return old
+
+    # one branch is computed per edit, that of its field
+    new = F.when(whole, replaced(p, "said", _SAID))
+    for name, names in _REPLACES.items():
+        new = new.when(field == name, replaced(p, "said", names))
+    new = new.otherwise(p)
+    scored = ("asr", "quantity", "location", "item")
+    sure = F.when(whole, replaced(c, "sure", scored))
+    for name in scored:
+        sure = sure.when(field == name, replaced(c, "sure", (name,)))
+    sure = sure.otherwise(c)
 
     def shown(v: Column, name: str) -> Column:
         return {"location": v["location_text"], "quantity": format_quantity(v["quantity"]),
@@ -170,12 +183,14 @@ def _fold(s: Column, e: Column, mutable: Column) -> Column:
 
     # an edit is always logged, a new dictation only where it says something else
     spoken = F.filter(F.array(*map(change, ("item", "quantity", "location"))), lambda x: x["from"] != x["to"])
-    typed = F.filter(F.array(*map(change, _REPLACES)), lambda x: x["field"] == field)
+    logged = F.when(whole, spoken)
+    for name in _REPLACES:
+        logged = logged.when(field == name, F.array(change(name)))
     outcome = F.when(~e["ok"], "not_understood").when(~mutable, "immutable").otherwise("applied")
     return F.get(F.transform(F.array(outcome), lambda o: F.struct(
         F.when(o == "applied", new).otherwise(p).alias("parsed"),
         F.when(o == "applied", sure).otherwise(c).alias("confidence"),
-        F.when(o == "applied", F.concat(s["corrections"], F.when(whole, spoken).otherwise(typed))).otherwise(
+        F.when(o == "applied", F.concat(s["corrections"], logged)).otherwise(
             s["corrections"]).alias("corrections"),
         F.concat(s["outcomes"], F.array(o)).alias("outcomes"),
         F.when(o == "applied", whole).otherwise(s["dictated"]).alias("dictated"),

@@ -64,3 +64,26 @@ def test_queries_parse_different_texts(spark, query):
     """The parser stands above the different texts, not above the rows."""
     plan = QUERIES[query](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [text_key" in plan
+
+
+def test_edits_meet_the_rules_of_their_own_field(spark, monkeypatch):
+    """A quantity's value never reaches the location rules, and equal values reach their own once."""
+    from tallyline.operators import edits as ed
+    seen = []
+    plain = ed.location_value
+
+    def counted(t, *names):
+        seen.append(t.count())
+        return plain(t, *names)
+
+    monkeypatch.setattr(ed, "location_value", counted)
+    e = spark.createDataFrame(
+        [(str(i), "en", ["location", "quantity", "item", "unit", None][i % 5], ["bin A-1", "20", "tape", "reels", "x"][i % 5])
+         for i in range(100)], "id string, language string, field string, value string")
+    places = spark.createDataFrame([("LOC-A-1", "Bin A-1", ["A-1"])], "id string, name string, aliases array<string>")
+    parts = spark.createDataFrame([("PN-1", "tape", ["tapes"])], "part_number string, name string, aliases array<string>")
+    out = ed._understand(e, places, parts)
+    assert seen == [1]
+    found = sorted((int(r.id), r._lid, r._q, r._pid) for r in out.collect())
+    assert found == [(i, *[("LOC-A-1", None, None), (None, 20.0, None), (None, None, "PN-1"), (None,) * 3, (None,) * 3][i % 5])
+                     for i in range(100)]
