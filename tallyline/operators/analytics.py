@@ -41,15 +41,21 @@ def review_reason_histogram(df: DataFrame) -> DataFrame:
         F.count("*").alias("n"))
 
 
-def correction_rates(log: DataFrame, records: DataFrame) -> DataFrame:
-    """Corrections per field and operator, with totals, against captured records."""
+def correction_rates(log: DataFrame, records: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Corrections per field and operator, with totals, against captured records.
+
+    ``tasks`` is the number the log is dealt to by record, for a log whose size the caller knows.
+    """
     who = records.select(F.col("id").alias("observation_id"), "operator_id")
+    if tasks:
+        log, who = log.repartition(tasks, "observation_id"), who.repartition(tasks, "observation_id")
+    log = log.groupBy("observation_id", "field").agg(F.count("*").alias("corrections"))
     captured = records.cube("operator_id").agg(F.count("*").alias("captured")).select(
         F.col("operator_id").alias("_op"), "captured")
     # a record has one operator: after one row per record and field, all but the
     # totals over fields are plain sums, and those need one row per record
     each = log.join(who, "observation_id").groupBy("operator_id", "observation_id", "field").agg(
-        F.count("*").alias("corrections"))
+        F.sum("corrections").alias("corrections"))
     by_field = each.groupBy("operator_id", "field").agg(
         F.sum("corrections").alias("corrections"), F.count("*").alias("records"))
     by_operator = each.groupBy("operator_id", "observation_id").agg(

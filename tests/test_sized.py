@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyline import lexicon
+from tallyline import lexicon, session
 from tallyline.operators import extraction
 from tallyline.operators.tokens import tokenize
+from tallyline.plans import corpus
 from tallyline.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -87,3 +88,16 @@ def test_edits_meet_the_rules_of_their_own_field(spark, monkeypatch):
     found = sorted((int(r.id), r._lid, r._q, r._pid) for r in out.collect())
     assert found == [(i, *[("LOC-A-1", None, None), (None, 20.0, None), (None, None, "PN-1"), (None,) * 3, (None,) * 3][i % 5])
                      for i in range(100)]
+
+
+def test_the_correction_log_is_dealt_by_its_rows(spark, monkeypatch):
+    """Tasks grow with the table, not the rows of a task; one exchange of the line items serves all steps."""
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    tasks = -(-lines // 500)
+    assert plan_of(corpus.correction_log(spark, SF)).count("hashpartitioning(l_orderkey#") == 1
+    assert f", {tasks})" in plan_of(corpus.correction_log(spark, SF))
+    small = sorted(map(repr, QUERIES["correction_rate"](spark, SF).collect()))
+    monkeypatch.undo()
+    assert session.tasks_for(spark.range(10)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert small == sorted(map(repr, QUERIES["correction_rate"](spark, SF).collect()))
