@@ -101,3 +101,8 @@ def test_the_correction_log_is_dealt_by_its_rows(spark, monkeypatch):
     monkeypatch.undo()
     assert session.tasks_for(spark.range(10)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert small == sorted(map(repr, QUERIES["correction_rate"](spark, SF).collect()))
+
+
+def test_documents_are_dealt_ahead_of_extraction(spark):
+    """A file of one row group is not parsed by one task."""
+    assert "hashpartitioning(doc_id#" in plan_of(QUERIES["document_extract"](spark, SF))
