@@ -60,7 +60,7 @@ def test_per_text_equals_row_by_row(spark):
 
 @pytest.mark.parametrize("query", [
     "qty_unit", "item_desc", "multi_item", "review", "certainty", "confidence", "loc_extract", "corrections_inline",
-    "edit_values", "article_qty"])
+    "edit_values", "article_qty", "backend_units"])
 def test_queries_parse_different_texts(spark, query):
     """The parser stands above the different texts, not above the rows."""
     plan = QUERIES[query](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
